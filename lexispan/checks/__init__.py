@@ -1,4 +1,4 @@
 """Registered queries; importing the modules fills the registry."""
 
-from . import mining_checks, text_checks  # noqa: F401
+from . import memory_checks, mining_checks, text_checks  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -17,6 +17,7 @@ from .text import (
     is_acronym_noise,
     is_mixed_case,
     is_upper,
+    let,
     normalize_source,
     quote,
     single_word_term,
@@ -311,21 +312,27 @@ def _by_parenthetical(source, target, term) -> Column:
     own = F.nullif(F.regexp_extract(text(term), K.PAREN_PAIR, 2), F.lit(""))
     pair = F.coalesce(own, F.regexp_extract(text(source), K.PAREN_PAIR, 2))
     abbr = F.when(is_acronym(term), strip(term)).otherwise(clean_term(pair))
+    return let(abbr, lambda a: F.when(a != "", _named_in_parens(a, target, term)))
+
+
+def _named_in_parens(abbr, target, term) -> Column:
     opening = F.concat(F.lit(r"(?iU)\(\s*"), quote(abbr), F.lit(r"\s*\)"))
     # Everything before each "(ABC)": prefixes of the target that end at a match.
     pieces = F.split(text(target), opening)
     marks = F.regexp_extract_all(text(target), opening, F.lit(0))
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(marks), F.lit(1))),
-        lambda i: F.concat_ws(
-            "",
-            F.transform(
-                F.slice(pieces, F.lit(1), i),
-                lambda p, j: F.when(j == 0, p).otherwise(F.concat(F.get(marks, j - 1), p)),
+
+    def prefixes(pieces, marks):
+        upto = F.transform(
+            F.sequence(F.lit(1), F.size(marks)),
+            lambda i: F.concat_ws(
+                "",
+                F.transform(
+                    F.slice(pieces, F.lit(1), i),
+                    lambda p, j: F.when(j == 0, p).otherwise(F.concat(F.get(marks, j - 1), p)),
+                ),
             ),
-        ),
-    )
-    prefixes = F.filter(prefixes, lambda p: (strip(p) != "") & (F.size(marks) > 0))
+        )
+        return F.filter(upto, lambda p: strip(p) != "")
 
     def tail(prefix):
         parts = _split_parts(strip(prefix), K.TARGET_BOUNDARY)
@@ -335,9 +342,13 @@ def _by_parenthetical(source, target, term) -> Column:
         raw = strip(F.regexp_replace(raw, K.ENGLISH_POSSESSIVE_PREFIX, ""))
         return F.regexp_replace(F.btrim(raw, F.lit(" \t\r\n,.;:()[]{}")), K.SPACES, " ")
 
-    tails = F.filter(F.transform(prefixes, tail), lambda r: r != "")
-    named = F.transform(tails, lambda r: F.concat(r, F.lit("("), abbr, F.lit(")")))
-    good = F.filter(named, lambda c: ~bad_target(term, c))
+    def good(marks):
+        tails = F.transform(let(pieces, lambda p: prefixes(p, marks)), tail)
+        named = F.transform(
+            F.filter(tails, lambda r: r != ""), lambda r: F.concat(r, F.lit("("), abbr, F.lit(")"))
+        )
+        return F.filter(named, lambda c: ~bad_target(term, c))
+
     loose = F.regexp_extract_all(
         text(target),
         F.concat(F.lit(r"(?iU)([가-힣A-Za-z0-9·/\-&\s]{1,80}\(\s*"), quote(abbr), F.lit(r"\s*\))")),
@@ -346,7 +357,7 @@ def _by_parenthetical(source, target, term) -> Column:
     loose = F.filter(
         F.transform(loose, lambda m: F.btrim(m, F.lit(" ,.;:"))), lambda m: ~bad_target(term, m)
     )
-    return F.when(abbr != "", F.coalesce(_shortest(good), _shortest(loose)))
+    return let(marks, lambda m: F.when(F.size(m) > 0, F.coalesce(_shortest(good(m)), _shortest(loose))))
 
 
 def _by_colon(source, target, term) -> Column:

@@ -16,6 +16,11 @@ def lits(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate a value once and use it many times in an expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rank_of(c: Column, ranks: dict, default) -> Column:
     """Look a value up in a small constant table."""
     out = None

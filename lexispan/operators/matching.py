@@ -17,6 +17,7 @@ from ..functions.text import (
     contains_key,
     contains_term,
     document_key,
+    let,
     normalize_source,
     rank_of,
     strip,
@@ -42,22 +43,25 @@ WORDS, KEY_WORDS, KEY_INSIDE = "words", "key_words", "key_inside"
 
 def _grams(key) -> Column:
     """Character runs of one to three characters; a text has every run of the texts inside it."""
-    k = text(key)
 
-    def runs(n):
-        made = F.transform(F.sequence(F.lit(1), F.length(k) - (n - 1)), lambda i: F.substr(k, i, F.lit(n)))
-        return F.when(F.length(k) >= n, made).otherwise(F.array().cast("array<string>"))
+    def of(k):
+        def runs(n):
+            made = F.transform(F.sequence(F.lit(1), F.length(k) - (n - 1)), lambda i: F.substr(k, i, F.lit(n)))
+            return F.when(F.length(k) >= n, made).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+        return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+    return let(text(key), of)
 
 
 def _form_grams(key) -> Column:
     """Only the longest runs of a form are worth looking up."""
-    k = text(key)
-    n = F.least(F.length(k), F.lit(3))
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(k) - n + 1), lambda i: F.substr(k, i, n))
-    )
+
+    def of(k):
+        n = F.least(F.length(k), F.lit(3))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - n + 1), lambda i: F.substr(k, i, n)))
+
+    return let(text(key), of)
 
 
 def match_forms(

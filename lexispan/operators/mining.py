@@ -22,6 +22,7 @@ from ..functions.text import (
     frequency_in_unit,
     is_acronym_noise,
     is_upper,
+    let,
     normalize_source,
     segment_keys,
     strip,
@@ -237,17 +238,22 @@ def extract_candidates(units: DataFrame, korean: bool = False) -> DataFrame:
 def korean_frequency(t, term) -> Column:
     """Occurrences of a token sequence in stemmed Korean segments, at least one."""
     wanted = F.array_join(words(normalize_source(term)), " ")
-    width = F.size(F.split(wanted, " "))
 
-    def hits(ws):
-        norm = F.transform(ws, normalize_source)
-        at = F.when(F.size(norm) >= width, F.sequence(F.lit(1), F.size(norm) - width + 1)).otherwise(
-            F.array().cast("array<int>")
+    def count(wanted):
+        width = F.size(F.split(wanted, " "))
+
+        def hits(norm):
+            at = F.when(F.size(norm) >= width, F.sequence(F.lit(1), F.size(norm) - width + 1)).otherwise(
+                F.array().cast("array<int>")
+            )
+            return F.size(F.filter(at, lambda i: F.array_join(F.slice(norm, i, width), " ") == wanted))
+
+        per_segment = F.transform(
+            segment_words(t, True), lambda ws: let(F.transform(ws, normalize_source), hits)
         )
-        return F.size(F.filter(at, lambda i: F.array_join(F.slice(norm, i, width), " ") == wanted))
+        return F.aggregate(per_segment, F.lit(0), lambda a, n: a + n)
 
-    per_segment = F.transform(segment_words(t, True), hits)
-    return F.greatest(F.aggregate(per_segment, F.lit(0), lambda a, n: a + n), F.lit(1))
+    return F.greatest(let(wanted, count), F.lit(1))
 
 
 def term_stats(candidates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -359,16 +365,7 @@ def prune_nested(terms: DataFrame, keys: list[str]) -> DataFrame:
     term); an equi-join on the run replaces the comparison of all pairs.
     """
     ws = words(normalize_source("source_term"))
-    runs = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.size(ws) - 1),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")
-                ),
-            )
-        )
-    )
+    runs = let(ws, lambda w: shorter_runs(w, F.size(w) - 1))
     kept = [c for c in terms.columns if c not in keys]
     own = F.struct(*kept)
     none = F.lit(None).cast(terms.select(own.alias("x")).schema["x"].dataType)
@@ -395,6 +392,20 @@ def prune_nested(terms: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where(~F.coalesce(nested, F.lit(False))).select(*keys, "_own.*")
 
 
+def shorter_runs(ws: Column, longest: Column) -> Column:
+    """Distinct word runs of one to ``longest`` words."""
+    return F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), longest),
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")
+                ),
+            )
+        )
+    )
+
+
 def none_type(df: DataFrame, value: Column) -> str:
     return df.select(value.alias("x")).schema["x"].dataType.simpleString()
 

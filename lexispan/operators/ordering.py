@@ -23,16 +23,16 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sum per group; the first order column is a whole number."""
     block = _block(order[0], rows) if block is None else block
-    df = df.withColumn("_b", block).withColumn("_v", value)
-    totals = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__b", block).withColumn("__v", value)
+    totals = df.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.withColumn("_s", F.sum("_v").over(inside))
-        .join(offsets, [*keys, "_b"])
-        .withColumn(name, F.col("_s") + F.col("_o"))
-        .drop("_b", "_v", "_s", "_o")
+        df.withColumn("__s", F.sum("__v").over(inside))
+        .join(offsets, [*keys, "__b"])
+        .withColumn(name, F.col("__s") + F.col("__o"))
+        .drop("__b", "__v", "__s", "__o")
     )
 
 
@@ -58,30 +58,30 @@ def neighbours(
     edge = F.array(
         b, F.when(o % rows == 0, b - 1), F.when(o % rows == rows - 1, b + 1)
     )
-    spread = df.withColumn("_home", b).withColumn("_b", F.explode(F.array_compact(edge)))
-    w = Window.partitionBy(*keys, "_b").orderBy(order)
+    spread = df.withColumn("__home", b).withColumn("__b", F.explode(F.array_compact(edge)))
+    w = Window.partitionBy(*keys, "__b").orderBy(order)
     for name, (source, step) in columns.items():
         spread = spread.withColumn(name, F.lag(source, 1).over(w) if step < 0 else F.lead(source, 1).over(w))
-    return spread.where("_b = _home").drop("_b", "_home")
+    return spread.where("__b = __home").drop("__b", "__home")
 
 
 def carry_forward(
     df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Last non-null value at or before each row."""
-    df = df.withColumn("_b", _block(order[0], rows)).withColumn("_v", value)
-    last = df.where("_v is not null").groupBy(*keys, "_b").agg(
-        F.max_by("_v", F.struct(*order)).alias("_l")
+    df = df.withColumn("__b", _block(order[0], rows)).withColumn("__v", value)
+    last = df.where("__v is not null").groupBy(*keys, "__b").agg(
+        F.max_by("__v", F.struct(*order)).alias("__l")
     )
-    blocks = df.select(*keys, "_b").distinct().join(last, [*keys, "_b"], "left")
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, "_b", F.last("_l", ignorenulls=True).over(before).alias("_o"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = df.select(*keys, "__b").distinct().join(last, [*keys, "__b"], "left")
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "__b", F.last("__l", ignorenulls=True).over(before).alias("__o"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.withColumn("_s", F.last("_v", ignorenulls=True).over(inside))
-        .join(blocks, [*keys, "_b"])
-        .withColumn(name, F.coalesce("_s", "_o"))
-        .drop("_b", "_v", "_s", "_o")
+        df.withColumn("__s", F.last("__v", ignorenulls=True).over(inside))
+        .join(blocks, [*keys, "__b"])
+        .withColumn(name, F.coalesce("__s", "__o"))
+        .drop("__b", "__v", "__s", "__o")
     )
 
 

@@ -16,8 +16,9 @@ from ..functions.terms import (
     too_short_target,
     unrelated_acronyms,
 )
-from ..functions.text import clean_evidence, extract_acronyms, normalize_source, rank_of, strip, text, words
+from ..functions.text import clean_evidence, extract_acronyms, let, normalize_source, rank_of, strip, text, words
 from .matching import match_terms
+from .mining import shorter_runs
 from .ordering import top_k
 
 
@@ -144,14 +145,8 @@ def demotion(terms: DataFrame) -> DataFrame:
 def _sources_and_runs(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = F.array_distinct(F.transform(entry_sources("source_term", "aliases"), lambda s: F.array_join(words(normalize_source(s)), " ")))
     rows = terms.select("doc_id", "_target", "term_id", F.explode(names).alias("name"))
-    ws = F.split("name", " ")
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size(ws)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")),
-        )
-    )
-    return rows, rows.select("doc_id", "_target", "term_id", F.explode(F.array_distinct(runs)).alias("run")).distinct()
+    runs = let(F.split("name", " "), lambda w: shorter_runs(w, F.size(w)))
+    return rows, rows.select("doc_id", "_target", "term_id", F.explode(runs).alias("run")).distinct()
 
 
 def target_collisions(terms: DataFrame) -> DataFrame:

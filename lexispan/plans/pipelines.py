@@ -107,7 +107,7 @@ def review_input(entries: DataFrame, terms: DataFrame, occurrences: DataFrame) -
 
 
 def resolver_scopes(entries: DataFrame, injections: DataFrame, observed: DataFrame) -> DataFrame:
-    found = materialize(A.classify_observations(injections, observed))
+    found = materialize(A.classify_observations(injections, observed.drop("scope")))
     return A.resolver_signals(entries, found, observed)
 
 
