@@ -146,7 +146,7 @@ def usage(spark, sf):
 
 
 def prices(spark):
-    rows = [("view", 0.25, 1.0), ("click", 0.4, 1.4), ("purchase", 0.2, 0.3), ("signup", 0.5, 2.0)]
+    rows = [("view", 1.0, 4.0), ("click", 2.0, 6.0), ("purchase", 1.0, 3.0), ("signup", 3.0, 5.0)]
     return spark.createDataFrame(
         [(*r, 0.2) for r in rows], "model string, input_usd_per_1m double, output_usd_per_1m double, usd_per_image double"
     )

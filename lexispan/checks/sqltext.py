@@ -186,7 +186,7 @@ usage AS (
          greatest(coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0), 0) AS prompt_tokens,
          greatest(coalesce(CAST(trunc(value) AS BIGINT), 0), 0) AS completion_tokens FROM events),
 usage_rows AS (SELECT * FROM usage WHERE prompt_tokens > 0 OR completion_tokens > 0),
-prices AS (SELECT * FROM (VALUES ('view', 0.25, 1.0), ('click', 0.4, 1.4), ('purchase', 0.2, 0.3), ('signup', 0.5, 2.0))
+prices AS (SELECT * FROM (VALUES ('view', 1.0, 4.0), ('click', 2.0, 6.0), ('purchase', 1.0, 3.0), ('signup', 3.0, 5.0))
            p(model, input_usd_per_1m, output_usd_per_1m))
 """
 

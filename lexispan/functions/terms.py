@@ -34,19 +34,21 @@ EDGE_MARKS = "()[]:;,."
 
 def invalid_reason(term) -> Column:
     """Why a term cannot stand as a candidate; empty when it can."""
-    raw = clean_term(term)
-    ws = words(F.lower(raw))
-    n = F.size(ws)
-    return (
-        F.when((raw == "") | (n == 0), "empty")
-        .when(F.lower(raw).isin(K.PLACEHOLDERS), "placeholder")
-        .when(F.element_at(ws, -1).isin(K.FUNCTION_WORDS), "ends_with_function_word")
-        .when(F.get(ws, F.lit(0)).isin(K.FUNCTION_WORDS), "starts_with_function_word")
-        .when(is_acronym_noise(raw), "acronym_noise")
-        .when((n >= 8) & ~is_acronym(raw), "too_long_sentence_like_phrase")
-        .when((n >= 4) & F.exists(ws, lambda w: w.isin(K.SENTENCE_MARKERS)), "sentence_pattern")
-        .otherwise("")
-    )
+
+    def rules(raw, ws):
+        n = F.size(ws)
+        return (
+            F.when((raw == "") | (n == 0), "empty")
+            .when(F.lower(raw).isin(K.PLACEHOLDERS), "placeholder")
+            .when(F.element_at(ws, -1).isin(K.FUNCTION_WORDS), "ends_with_function_word")
+            .when(F.get(ws, F.lit(0)).isin(K.FUNCTION_WORDS), "starts_with_function_word")
+            .when(is_acronym_noise(raw), "acronym_noise")
+            .when((n >= 8) & ~is_acronym(raw), "too_long_sentence_like_phrase")
+            .when((n >= 4) & F.exists(ws, lambda w: w.isin(K.SENTENCE_MARKERS)), "sentence_pattern")
+            .otherwise("")
+        )
+
+    return let(clean_term(term), lambda raw: let(words(F.lower(raw)), lambda ws: rules(raw, ws)))
 
 
 def independent_shape(term) -> Column:
@@ -71,9 +73,13 @@ def title_like(term) -> Column:
         F.transform(words(term), lambda w: F.btrim(w, F.lit(EDGE_MARKS))),
         lambda w: (w != "") & ~F.lower(w).isin(skip),
     )
-    return (F.size(content) > 0) & (
-        F.exists(content, has_hangul)
-        | F.forall(content, lambda w: starts_upper(w) | is_upper(w) | is_mixed_case(w))
+    return let(
+        content,
+        lambda ws: (F.size(ws) > 0)
+        & (
+            F.exists(ws, has_hangul)
+            | F.forall(ws, lambda w: starts_upper(w) | is_upper(w) | is_mixed_case(w))
+        ),
     )
 
 
@@ -81,13 +87,14 @@ def bad_body_ngram(term) -> Column:
     lowers = F.filter(
         F.transform(words(term), lambda w: F.lower(F.btrim(w, F.lit(EDGE_MARKS)))), lambda w: w != ""
     )
-    return (
-        (F.size(lowers) == 0)
-        | F.try_element_at(lowers, F.lit(-1)).isin(K.FUNCTION_WORDS)
-        | F.get(lowers, F.lit(0)).isin(K.FUNCTION_WORDS)
-        | F.exists(F.slice(lowers, 2, 1000), lambda w: w.isin(K.LEADING_STOPWORDS))
-        | ~title_like(term)
+    bad = let(
+        lowers,
+        lambda ws: (F.size(ws) == 0)
+        | F.try_element_at(ws, F.lit(-1)).isin(K.FUNCTION_WORDS)
+        | F.get(ws, F.lit(0)).isin(K.FUNCTION_WORDS)
+        | F.exists(F.slice(ws, 2, 1000), lambda w: w.isin(K.LEADING_STOPWORDS)),
     )
+    return bad | ~title_like(term)
 
 
 def repeated_key_token(term) -> Column:
@@ -95,7 +102,7 @@ def repeated_key_token(term) -> Column:
         F.transform(words(term), lambda w: F.btrim(w, F.lit("()/"))),
         lambda w: starts_upper(w) | is_upper(w) | is_mixed_case(w),
     )
-    return F.size(keys) != F.size(F.array_distinct(keys))
+    return let(keys, lambda ks: F.size(ks) != F.size(F.array_distinct(ks)))
 
 
 def single_name(word) -> Column:
@@ -121,11 +128,10 @@ def exclusion_reason(term, frequency, types, acronym_ok) -> Column:
     """First rule that rejects a candidate; empty when it is kept."""
     term, types = col(term), col(types)
     n = token_count(term)
-    base = invalid_reason(term)
     name = _has(types, "single_titlecase_proper_noun")
-    return (
-        F.when(base != "", base)
-        .when(repeated_key_token(term), "cross_boundary_repeated_token")
+    return F.coalesce(
+        F.nullif(invalid_reason(term), F.lit("")),
+        F.when(repeated_key_token(term), "cross_boundary_repeated_token")
         .when((term == "") | (n == 0), "empty_or_non_word")
         .when(F.length(term) < 2, "too_short")
         .when((n == 1) & ~single_word_term(term) & ~name, "generic_single_word")
@@ -142,7 +148,7 @@ def exclusion_reason(term, frequency, types, acronym_ok) -> Column:
             "low_frequency",
         )
         .when(is_acronym(term) & ~acronym_ok, "unvalidated_acronym")
-        .otherwise("")
+        .otherwise(""),
     )
 
 

@@ -82,16 +82,25 @@ def segment_words(t, korean: bool = False) -> Column:
 
 
 def ngrams(ws: Column, smallest: int, signal: str) -> Column:
-    """Word runs of up to six words in which some word carries the signal."""
+    """Word runs of up to six words in which some word carries the signal.
 
-    def runs(n):
-        made = F.transform(
-            F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " ")
-        )
-        made = F.when(F.size(ws) >= n, made).otherwise(F.array().cast("array<string>"))
-        return F.filter(made, lambda p: p.rlike(signal))
+    Only runs that span a signal word are spelled out.
+    """
+
+    def spell(at):
+        def runs(n):
+            starts = F.filter(
+                F.sequence(F.lit(1), F.size(ws) - (n - 1)),
+                lambda i: F.exists(at, lambda p: (p >= i) & (p < i + n)),
+            )
+            made = F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), " "))
+            return F.when(F.size(ws) >= n, made).otherwise(F.array().cast("array<string>"))
+
+        spelled = F.concat(*[runs(n) for n in range(smallest, 7)])
+        return F.when(F.size(at) > 0, spelled).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[runs(n) for n in range(smallest, 7)])
+    numbered = F.transform(ws, lambda w, i: F.when(w.rlike(signal), i + 1))
+    return let(F.array_compact(numbered), spell)
 
 
 def paren_pairs(t, pattern: str = K.PAREN_PAIR) -> Column:
@@ -135,7 +144,7 @@ def candidates_in(t, korean: bool = False) -> Column:
     def in_segment(ws):
         if korean:
             single = F.filter(ws, lambda w: w.rlike("[가-힣]|^[A-Z]"))
-            phrases = ngrams(ws, 2, "[가-힣]|(?:^| )[A-Z]")
+            phrases = ngrams(ws, 2, "[가-힣]|^[A-Z]")
             return F.concat(
                 F.transform(single, lambda w: _item(w, B["proper_noun"])),
                 F.transform(phrases, lambda p: _item(p, B["repeated_phrase"])),
@@ -144,7 +153,7 @@ def candidates_in(t, korean: bool = False) -> Column:
             F.transform(
                 F.filter(ws, single_name), lambda w: _item(w, B["single_titlecase_proper_noun"])
             ),
-            F.transform(ngrams(ws, 2, "(?:^| )[A-Z]"), lambda p: _item(p, B["repeated_phrase"])),
+            F.transform(ngrams(ws, 2, "^[A-Z]"), lambda p: _item(p, B["repeated_phrase"])),
         )
 
     items.append(F.flatten(F.transform(segment_words(flat, korean), in_segment)))
@@ -155,7 +164,7 @@ def candidates_in(t, korean: bool = False) -> Column:
             x["bits"].alias("bits"), x["aliases"].alias("aliases"),
         ),
     )
-    return F.array_sort(keyed)
+    return F.sort_array(keyed)
 
 
 def extract_candidates(units: DataFrame, korean: bool = False) -> DataFrame:
