@@ -181,8 +181,6 @@ def injections(spark, sf):
     return C.kept(spark, sf, "injections", build)
 
 
-TRANS = "trans AS (SELECT doc_id, node_id AS unit_id, text, CASE WHEN node_id % 2 = 0 THEN upper(text) ELSE lower(text) END AS translated FROM nodes)"
-TRANS = "trans AS (SELECT doc_id, node_id AS unit_id, text, CASE WHEN length(text) > 200 THEN replace(text, 'a', 'A') ELSE lower(text) END AS translated FROM nodes)"
 
 
 def translated(spark, sf):
@@ -192,12 +190,12 @@ def translated(spark, sf):
     return node_units(spark, sf).withColumn("translated", changed)
 
 
-@check("strict_term_violations", S.with_(S.GLOSSARY, SUB, "gone AS (SELECT *, 'xx ' || text AS translated FROM subs)") + """
-SELECT doc_id, unit_id, term_id, source_term AS matched_source, preferred_target FROM gone WHERE frequency >= 3 AND preferred_target IS NOT NULL
-  AND frequency <> 2 AND NOT contains(lower(left(text, 40)), lower(preferred_target))""")
+@check("strict_term_violations", S.with_(S.GLOSSARY, SUB) + """
+SELECT doc_id, unit_id, term_id, source_term AS matched_source, preferred_target FROM subs WHERE frequency >= 3
+  AND NOT contains(lower(CASE WHEN length(text) > 200 THEN 'xx' ELSE text END), lower(preferred_target))""")
 def _(spark, sf):
     pairs = node_units(spark, sf).select(
-        "doc_id", "unit_id", F.col("text").alias("original"), F.left("text", F.lit(40)).alias("translated")
+        "doc_id", "unit_id", F.col("text").alias("original"), half_translated().alias("translated")
     )
     found = M.term_violations(pairs, C.entries(spark, sf), ["doc_id", "unit_id"])
     return found.select("doc_id", "unit_id", "term_id", "matched_source", "preferred_target")

@@ -12,9 +12,6 @@ from . import corpus as C
 from . import sqltext as S
 from .registry import check
 
-TAB = r"'\t'"
-
-
 @check("read_nodes", S.with_(S.NODES) + " SELECT doc_id, node_id, text, section, element_type FROM typed")
 def _(spark, sf):
     return C.nodes(spark, sf).select("doc_id", "node_id", "text", "section", "element_type")
@@ -332,10 +329,10 @@ def _(spark, sf):
 @check(
     "grid_context",
     S.with_("""cells AS (
-  SELECT doc_id, row, col, chr(64 + col) || row AS ref, w AS text FROM (
+  SELECT doc_id, row, col, 'c' || col || 'r' || row AS ref, w AS text FROM (
     SELECT conv_id AS doc_id, turn AS row, unnest(string_split(text, chr(10))) AS w,
            CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS col FROM conversations)
-  WHERE trim(w) <> '' AND col <= 26),
+  WHERE trim(w) <> ''),
  shown AS (SELECT *, ref || ': ' || left(trim(text), 120) AS s FROM cells),
  above AS (SELECT doc_id, row, col, string_agg(s, ' | ' ORDER BY br) AS t FROM (
    SELECT a.doc_id, a.row, a.col, b.s, b.row AS br, row_number() OVER (PARTITION BY a.doc_id, a.row, a.col ORDER BY b.row DESC) AS r
@@ -359,10 +356,10 @@ def _(spark, sf):
     turns = C.read_table(spark, sf, "conversations")
     cells = turns.select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("row"), F.posexplode(F.split("text", "\n")).alias("_i", "text")
-    ).where("trim(text) <> '' and _i < 26")
+    ).where("trim(text) <> ''")
     cells = cells.select(
         "doc_id", F.lit("chat").alias("sheet_name"), "row", (F.col("_i") + 1).alias("col"), "text",
-        F.concat(F.char(F.lit(65) + F.col("_i")), F.col("row").cast("string")).alias("cell_ref"), F.lit("").alias("merged_range"),
+        F.concat(F.lit("c"), (F.col("_i") + 1).cast("string"), F.lit("r"), F.col("row").cast("string")).alias("cell_ref"), F.lit("").alias("merged_range"),
     )
     return N.grid_context(cells).select("doc_id", "row", "col", "context_text")
 

@@ -41,27 +41,26 @@ def _signs(t) -> Column:
 WORDS, KEY_WORDS, KEY_INSIDE = "words", "key_words", "key_inside"
 
 
-def _grams(key) -> Column:
-    """Character runs of one to three characters; a text has every run of the texts inside it."""
-
-    def of(k):
-        def runs(n):
-            made = F.transform(F.sequence(F.lit(1), F.length(k) - (n - 1)), lambda i: F.substr(k, i, F.lit(n)))
-            return F.when(F.length(k) >= n, made).otherwise(F.array().cast("array<string>"))
+def _runs(chars: Column, n: int) -> Column:
+    """Character runs of one length, in linear time."""
+    if n == 1:
+        return chars
+    return F.array_compact(F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)])))
 
-        return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
 
-    return let(text(key), of)
+def _grams(key) -> Column:
+    """Character runs of one to three characters; a text has every run of the texts inside it."""
+    return let(F.split(text(key), ""), lambda c: F.array_distinct(F.concat(_runs(c, 1), _runs(c, 2), _runs(c, 3))))
 
 
 def _form_grams(key) -> Column:
     """Only the longest runs of a form are worth looking up."""
-
-    def of(k):
-        n = F.least(F.length(k), F.lit(3))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - n + 1), lambda i: F.substr(k, i, n)))
-
-    return let(text(key), of)
+    return let(
+        F.split(text(key), ""),
+        lambda c: F.array_distinct(
+            F.when(F.size(c) >= 3, _runs(c, 3)).when(F.size(c) == 2, _runs(c, 2)).otherwise(c)
+        ),
+    )
 
 
 def match_forms(
@@ -86,18 +85,29 @@ def match_forms(
     )
     keyed = named.withColumn("_all", tokens).withColumn("_t", F.explode("_all"))
     in_texts = texts.select(*text_key, *[s for s in scope if s not in text_key], F.explode(text_tokens).alias("_t"))
+    if mode == KEY_INSIDE:
+        # Character runs are many and none is very common inside one document: any
+        # one run of the form will do, and the texts are read once.
+        chosen = keyed.groupBy(*scope, "_fid", form).agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
+        keys = in_texts.join(chosen, [*scope, "_t"]).drop("_t")
+        return _verify(keys, named, texts, text_key, scope, body, form, mode)
     wanted = keyed.select(*scope, "_t").distinct()
     postings = in_texts.join(wanted, [*scope, "_t"], "left_semi")
     # How common each form token is over the texts; a form with an unseen token drops out.
     common = postings.groupBy(*scope, "_t").agg(F.count(F.lit(1)).alias("_df"))
     chosen = (
-        keyed.select(*scope, "_fid", F.size("_all").alias("_need"), "_t").join(common, [*scope, "_t"])
-        .groupBy(*scope, "_fid", "_need")
+        keyed.select(*scope, "_fid", form, F.size("_all").alias("_need"), "_t").join(common, [*scope, "_t"])
+        .groupBy(*scope, "_fid", form, "_need")
         .agg(F.min_by("_t", F.struct("_df", "_t")).alias("_t"), F.count(F.lit(1)).alias("_got"))
-        .where("_got >= _need").select(*scope, "_fid", "_t")
+        .where("_got >= _need").select(*scope, "_fid", form, "_t")
     )
     pairs = postings.join(chosen, [*scope, "_t"]).drop("_t")
-    both = pairs.join(named, [*scope, "_fid"]).join(texts.select(*text_key, F.col(body).alias("_body")), text_key)
+    return _verify(pairs, named, texts, text_key, scope, body, form, mode)
+
+
+def _verify(pairs, named, texts, text_key, scope, body, form, mode) -> DataFrame:
+    """Keep the candidate pairs whose text really contains the form."""
+    both = pairs.join(named, [*scope, "_fid", form]).join(texts.select(*text_key, F.col(body).alias("_body")), text_key)
     if mode == WORDS:
         hit = contains_term("_body", form)
     elif mode == KEY_WORDS:

@@ -220,6 +220,27 @@ def test_snapshots(spark, tmp_path):
     assert {(r.job_id, r.v) for r in snapshots.read_snapshot(spark, out).collect()} == {("a", 5), ("b", 2)}
 
 
+def test_micro_batch_merge_is_repeatable(spark):
+    from lexispan.streaming.terms import foreach_batch_merge
+
+    none = F.array().cast("array<string>")
+    extra = {"candidate_types": none, "reason": none, "chunk_count": F.lit(1).cast("bigint"), "section_count": F.lit(1).cast("bigint")}
+    memory = corpus.glossary(spark, SMALL).withColumns(extra)
+    scan = memory.withColumn("frequency", F.col("frequency") + 3).drop("bucket", "term_id", "term_order", "target_term", "review_reason")
+    store = {}
+    merge = foreach_batch_merge(lambda: memory, lambda df, i: store.__setitem__(i, df))
+    merge(scan, 7)
+    merge(scan, 7)
+    before = memory.agg(F.sum("frequency")).first()[0]
+    assert store[7].agg(F.sum("frequency")).first()[0] == before + 3 * memory.count() and list(store) == [7]
+
+
+def test_hot_group_matches_completely(spark):
+    texts = spark.range(3000).select(F.lit(1).alias("doc_id"), F.col("id").alias("unit_id"), F.lit("the hot Term here").alias("text"))
+    forms = spark.createDataFrame([(1, "t", "hot term"), (1, "u", "here")], "doc_id int, term_id string, form string")
+    assert matching.match_forms(texts, forms, ["doc_id", "unit_id"], ["doc_id"]).count() == 6000
+
+
 def test_analysis_sample_uses_a_snippet_once(spark):
     terms = spark.createDataFrame([(1, k, k, "pending", s, 2, 1) for k, s in (("a", 0.9), ("b", 0.8), ("c", 0.7))], "doc_id long, normalized_source string, source_term string, bucket string, candidate_score double, frequency long, token_count int")
     occ = spark.createDataFrame([(1, k, u, f"s{u}", "") for k in "abc" for u in (0, 1, 2)], "doc_id long, normalized_source string, unit_id long, source_snippet string, surrounding_source string")
