@@ -143,7 +143,6 @@ def _(spark, sf):
 
 
 @check("reused_memory", """
-, x AS (SELECT 1)""".replace(", x AS (SELECT 1)", "") + """
 SELECT user_id AS job_id, bool_or(event_type = 'signup') AS reused, count(*) FILTER (event_type = 'signup') AS stored FROM events GROUP BY user_id""")
 def _(spark, sf):
     events = C.read_table(spark, sf, "events").select(F.col("user_id").alias("job_id"), "event_type")
@@ -152,7 +151,6 @@ def _(spark, sf):
 
 
 @check("session_state", """
-, y AS (SELECT 1)""".replace(", y AS (SELECT 1)", "") + """
 WITH l AS (SELECT user_id AS session_id, event_type AS key, arg_max(value, (ts, event_id)) AS value, max(ts) AS t FROM events GROUP BY ALL)
 SELECT session_id, key, round(value, 6) AS value FROM l WHERE epoch_us(timestamp '2024-01-30 00:00:00') - epoch_us(t) <= 21600000000 * 8""")
 def _(spark, sf):

@@ -20,14 +20,12 @@ from .mining_checks import mined
 from .registry import check
 
 G = S.with_(S.GLOSSARY)
-MATCH = f"""
+# Both forms of a term have the same length and match alike, so the greater text wins.
+MATCHES = f"""
 forms AS (SELECT doc_id, term_id, source_term, unnest(list_distinct([source_term] || aliases)) AS form FROM terms),
-hits AS (SELECT n.doc_id, n.node_id AS unit_id, term_id, arg_max(form, length(form) * 1000 + ascii(form)) AS any_form,
-    max(form) FILTER (true) AS top_form FROM nodes n JOIN forms f ON f.doc_id = n.doc_id AND {S.edge_contains('n.text', 'f.form')}
-  GROUP BY ALL)
+hits AS (SELECT n.doc_id, n.node_id AS unit_id, term_id, max(form) AS matched_source
+  FROM nodes n JOIN forms f ON f.doc_id = n.doc_id AND {S.edge_contains('n.text', 'f.form')} GROUP BY ALL)
 """
-# Both forms of a term have the same length and match alike, so the greater text wins.
-MATCHES = MATCH.replace("arg_max(form, length(form) * 1000 + ascii(form)) AS any_form,\n    max(form) FILTER (true) AS top_form", "max(form) AS matched_source")
 
 
 def node_units(spark, sf):
@@ -268,7 +266,7 @@ def _(spark, sf):
     return TM.target_chunks(_turn_targets(spark, sf))
 
 
-@check("deduplicated_observations", S.with_(CONV) + " SELECT doc_id, term_id, count(DISTINCT unit_id) AS n FROM turns, (SELECT 1) GROUP BY doc_id, term_id".replace("FROM turns, (SELECT 1)", "FROM (SELECT doc_id, 't_' || role AS term_id, unit_id FROM turns)"))
+@check("deduplicated_observations", S.with_(CONV) + """ SELECT doc_id, 't_' || role AS term_id, count(DISTINCT unit_id) AS n FROM turns GROUP BY ALL""")
 def _(spark, sf):
     twice = _turn_targets(spark, sf).unionByName(_turn_targets(spark, sf))
     return TM.dedupe_observations(twice).groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).alias("n"))
@@ -397,10 +395,10 @@ def _(spark, sf):
 
 
 @check("sanitized_entries", G + """
-SELECT doc_id, term_id, CASE WHEN frequency = 2 THEN 'analysis_hint' ELSE status END AS status,
+SELECT doc_id, term_id, CASE WHEN frequency <= 3 THEN 'analysis_hint' ELSE status END AS status,
   CASE WHEN frequency = 3 THEN NULL ELSE preferred_target END AS preferred_target,
   CASE WHEN frequency >= 4 THEN source_term || 'os' ELSE '' END AS avoid, CASE WHEN frequency = 3 THEN 'source_note' ELSE memory_kind END AS memory_kind
-FROM (SELECT *, FROM entries) WHERE true""".replace("CASE WHEN frequency = 2 THEN 'analysis_hint' ELSE status END AS status", "CASE WHEN frequency <= 3 THEN 'analysis_hint' ELSE status END AS status").replace("SELECT *, FROM", "SELECT * FROM"))
+FROM entries""")
 def _(spark, sf):
     e = C.entries(spark, sf).withColumn(
         "memory_kind", F.when(F.col("frequency") == 3, "source_meaning").otherwise(F.col("memory_kind"))
