@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -47,13 +48,55 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+_staged: list[tuple[SparkSession, str]] = []
+
+
+def _drop_paths(paths: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in paths:
+        context = spark.sparkContext
+        if context._jsc is None:
+            continue
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release_staged(since: int = 0) -> None:
+    """Delete the tables that ``materialize`` has written from position ``since`` on; frames that read them end here."""
+    paths = _staged[since:]
+    del _staged[since:]
+    _drop_paths(paths)
+
+
+@contextlib.contextmanager
+def staging():
+    """Delete what is staged inside the block when it ends; results must be written before."""
+    before = len(_staged)
+    try:
+        yield
+    finally:
+        release_staged(before)
+
+
+def staged_path(spark: SparkSession) -> str:
+    """A new folder under the shared one, deleted with the staged tables."""
+    if not _staged:
+        # Runs before the session's own exit handler, which was registered earlier.
+        atexit.unregister(release_staged)
+        atexit.register(release_staged)
+    path = f"{shared_folder(spark).rstrip('/')}/lexispan/{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a frame once to the shared folder and go on from the written table.
 
     Used where several branches of a plan read the same expensive result, and
-    to cut the lineage of loops. The table survives lost executors.
+    to cut the lineage of loops. The table survives lost executors. It is
+    deleted by ``release_staged``, at the end of ``staging``, or when the
+    program ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lexispan/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = staged_path(spark)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
