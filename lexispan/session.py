@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -88,15 +89,19 @@ def staged_path(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy", tidy: bool = False) -> DataFrame:
     """Write a frame once to the shared folder and go on from the written table.
 
     Used where several branches of a plan read the same expensive result, and
     to cut the lineage of loops. The table survives lost executors. It is
     deleted by ``release_staged``, at the end of ``staging``, or when the
-    program ends.
+    program ends. ``tidy`` lets Spark delete the shuffle files of earlier steps.
     """
     spark = df.sparkSession
     path = staged_path(spark)
     df.write.option("compression", compression).parquet(path)
+    if tidy:
+        # Shuffle files go when the plan that made them is collected; a long chain of steps would keep them all.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
