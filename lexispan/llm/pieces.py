@@ -288,12 +288,12 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "n_pieces", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
-def round_trips(documents: DataFrame, model_path: str, id_column="doc_id", text_column="text") -> DataFrame:
+def round_trips(documents: DataFrame, model_path: str, id_column="doc_id", text_column="text", keep_ids: bool = False) -> DataFrame:
     """Encode and decode every text: its pieces' number and crc32, the decoded text's length, sha256 and whether it is the text."""
     fields = {
         "doc_id": pa.int64(), "n_pieces": pa.int64(), "ids_crc32": pa.int64(), "n_chars": pa.int64(), "decoded_sha256": pa.string(),
         "round_trip": pa.bool_(),
-    }
+    } | ({"ids": pa.binary()} if keep_ids else {})
 
     def both(found):
         one, memo = model(model_path)
@@ -313,9 +313,11 @@ def round_trips(documents: DataFrame, model_path: str, id_column="doc_id", text_
                 parts["ids_crc32"].append([zlib.crc32(coded[b - 4 * c : b]) for b, c in zip(id_ends.tolist(), counts.tolist())])
                 parts["n_chars"].append(T.per_row(row_of[(back & 0xC0) != 0x80], len(lengths)))
                 parts["decoded_sha256"].append([hashlib.sha256(raw[a:b]).hexdigest() for a, b in spans])
+                if keep_ids:
+                    parts["ids"].append(T.binary(ids.astype("<u4"), counts))
                 parts["round_trip"].append([raw[a:b] == given[c:d] for (a, b), (c, d) in texts])
             yield T.batches(fields, parts)
 
     return documents.select(id_column, text_column).mapInArrow(
-        both, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, decoded_sha256 string, round_trip boolean"
+        both, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, decoded_sha256 string, round_trip boolean" + ", ids binary" * keep_ids
     )

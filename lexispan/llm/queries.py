@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staged_path
-from . import pieces, repetition, token_files
+from . import (
+    fingerprints, host_text, license_scan, mixing, near_dedup, pieces, quality_ranking, repetition, substring_dedup, token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +46,42 @@ def op9_quality_rules(spark, folder):
 @query
 def op10_pieces(spark, folder):
     return pieces.round_trips(table(spark, folder, "documents"), public_vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op1_fingerprints(spark, folder):
+    return fingerprints.edit_test(table(spark, folder, "documents"))
+
+
+@query
+def op3_quality_ranking(spark, folder):
+    documents = table(spark, folder, "documents")
+    return quality_ranking.quality_scores(documents, quality_ranking.learn(documents, table(spark, folder, "labels")))
+
+
+@query
+def op5_near_duplicates(spark, folder):
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), k=4, percent=80)
+
+
+@query
+def op6_source_mixture(spark, folder):
+    return mixing.mixture(table(spark, folder, "documents")).drop("repeats")
+
+
+ORACLES["op6_source_mixture"] = "select doc_id, size, source_size, target, taken from (" + mixing.mixture_sql() + ")"
+
+
+@query
+def op8_license_notices(spark, folder):
+    return license_scan.license_digest(license_scan.license_notices(table(spark, folder, "documents")))
+
+
+@query
+def op4_host_text(spark, folder):
+    return host_text.main_texts(table(spark, folder, "pages"))
+
+
+@query
+def op7_passages(spark, folder):
+    return substring_dedup.passage_digest(table(spark, folder, "documents"), window=20)

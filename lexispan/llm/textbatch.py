@@ -52,8 +52,8 @@ def column(values) -> pa.Array:
     return values.cast(pa.large_string())
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows in these bytes); null is an empty text."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES, unit: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets of the rows in these bytes); null is an empty text, ``unit`` rows stay together."""
     texts = column(texts)
     n = len(texts)
     if not n:
@@ -66,7 +66,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
     low = 0
     while low < n:
         high = int(np.searchsorted(ends, ends[low] + most, "right")) - 1
-        high = min(n, max(high, low + 1))
+        high = min(n, max(high // unit * unit, low + unit))
         yield low, high, whole[ends[low] : ends[high]], ends[low : high + 1] - ends[low]
         low = high
 

@@ -33,7 +33,7 @@ LENGTHS = np.array([[(c >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for c in ra
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_IDS = 1 << 17
 #: Distinct chunks of text whose ids a Python worker remembers before it starts anew.
-MEMO = 1_500_000
+MEMO = 1_000_000
 
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -43,37 +43,38 @@ PUNCT[[0x27, *range(128, 256)]] = False
 
 
 class Memo:
-    """Ids of chunks that were encoded before, found by hash."""
+    """Ids of chunks that were encoded before, found by hash; sorted arrays take a few bytes for each chunk."""
 
     def __init__(self, encode):
-        self.encode, self.at = encode, {}
-        self.ids, self.starts, self.used, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
-
-    def add(self, keys: list[int], chunks: list[str]) -> None:
-        got = self.encode(chunks)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in got]) if len(got) else np.zeros(0, np.uint32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(got) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[self.known + 1 : self.known + len(got) + 1] = self.used + np.cumsum(sizes)
-        self.at.update(zip(keys, range(self.known, self.known + len(keys))))
-        self.used, self.known = self.used + len(flat), self.known + len(got)
+        self.encode = encode
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, keys: np.ndarray, chunks: list[str]) -> None:
+        parts, sizes = [self.ids], []
+        for low in range(0, len(chunks), 4096):
+            for got in self.encode(chunks[low : low + 4096]):
+                parts.append(np.asarray(got, np.uint32))
+                sizes.append(len(got))
+        self.ids = np.concatenate(parts)
+        keys = np.concatenate([self.keys, keys])
+        at = np.concatenate([self.at, np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(chunks))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(sizes, np.int64))])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of byte ranges one after another, and how many each has."""
-        if self.known > MEMO:
+        if len(self.keys) > MEMO:
             self.__init__(self.encode)
         unique, first, back = np.unique(T.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            self.add([keys[i] for i in new], T.strings(data, starts[first[new]], ends[first[new]]))
-        place = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[back]
-        sizes = self.starts[place + 1] - self.starts[place]
-        return T.gather(self.ids, self.starts[place], sizes), sizes
+        near = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        new = self.keys[near] != unique if len(self.keys) else np.ones(len(unique), bool)
+        if new.any():
+            self.add(unique[new], T.strings(data, starts[first[new]], ends[first[new]]))
+        place = self.at[np.searchsorted(self.keys, unique)][back]
+        sizes = self.ends[place + 1] - self.ends[place]
+        return T.gather(self.ids, self.ends[place], sizes), sizes
 
 
 _memos: dict[str, Memo] = {}
@@ -147,17 +148,30 @@ def flat(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if data is not None else np.zeros(0, kind)
 
 
+def row_slices(counts: np.ndarray, most: int = 1 << 19):
+    """Ranges of rows of at most ``most`` values each, or one longer row."""
+    ends = np.cumsum(counts)
+    low = 0
+    while low < len(counts):
+        before = ends[low] - counts[low]
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield low, high
+        low = high
+
+
 def id_counts(coded: DataFrame, kind=np.uint32) -> DataFrame:
     """How often every id occurs; a task sends one row for each id that it has seen."""
 
     def count(found):
         total = np.zeros(0, np.int64)
         for batch in found:
-            got = np.bincount(flat(batch.column(0), kind))
-            if len(got) < len(total):
-                got, total = total, got
-            got[: len(total)] += total
-            total = got
+            ids = flat(batch.column(0), kind)
+            for low in range(0, len(ids), 1 << 20):
+                got = np.bincount(ids[low : low + (1 << 20)])
+                if len(got) < len(total):
+                    got, total = total, got
+                got[: len(total)] += total
+                total = got
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], ["id", "n"])
 
@@ -218,11 +232,12 @@ def write_token_files(coded: DataFrame, folder: str, vocabulary: int, kind=np.ui
 
     def code(found):
         for batch in found:
-            counts = np.asarray(batch.column(1).fill_null(0))
-            control, n_control, data, n_data = pack(ranks[flat(batch.column(2), kind)], counts)
-            yield T.batches(
-                fields, {"doc_id": [batch.column(0)], "n_tokens": [counts], "control": [T.binary(control, n_control)], "data": [T.binary(data, n_data)]}
-            )
+            sizes = np.asarray(batch.column(1))
+            for low, high in row_slices(sizes):
+                counts = sizes[low:high]
+                control, n_control, data, n_data = pack(ranks[flat(batch.column(2).slice(low, high - low), kind)], counts)
+                columns = batch.column(0).slice(low, high - low), counts, T.binary(control, n_control), T.binary(data, n_data)
+                yield T.batches(fields, {k: [c] for k, c in zip(fields, columns)})
 
     def blocks(found):
         number = start = 0
@@ -270,7 +285,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def decode(found):
         for batch in found:
-            for block in batch.to_pylist():
+            for i in range(batch.num_rows):
+                block = {k: batch.column(j)[i].as_py() for j, k in enumerate(batch.schema.names)}
                 counts = np.frombuffer(block["counts"], np.uint32).astype(np.int64)
                 ids = by_rank[unpack(np.frombuffer(block["control"], np.uint8), np.frombuffer(block["data"], np.uint8), counts)]
                 docs = np.frombuffer(block["docs"], np.int64)
@@ -295,7 +311,7 @@ def checksums(decoded: DataFrame) -> DataFrame:
 
     def sums(found):
         for batch in found:
-            crc = [zlib.crc32(memoryview(x)) for x in batch.column(3).to_pylist()]
+            crc = [zlib.crc32(x.as_buffer()) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return decoded.mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
