@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,6 +12,7 @@ from ..operators import scopes as SC
 from ..operators import units as U
 from ..operators.translator import mock
 from ..plans import pipelines as P
+from ..sources.tables import read_table
 from . import corpus as C
 from . import sqltext as S
 from .memory_checks import node_units
@@ -282,14 +284,38 @@ def _(spark, sf):
     return first.select("doc_id", hint.alias("hint"))
 
 
-@check("dialogue_hints", S.with_(S.NODES) + """
-SELECT doc_id, node_id, true AS direct, CASE WHEN node_id = 0 THEN NULL ELSE 'Mary' END AS speaker, CASE WHEN node_id = 0 THEN NULL ELSE 'John' END AS listener,
-  'family_or_caregiver_child' AS cues FROM (SELECT doc_id, node_id, text FROM nodes)""")
+# A turn becomes speech of its first name to its last one; turns with quotation marks of their own are left out.
+QUOTED, ADDRESSED = "[\"”’“‘']", "\\bto\\s+[A-Z]"
+FAMILY, PEER, RITE = (
+    w.replace(" ", "|") for w in (
+        "mother father parent parents sister brother daughter son child children family newchild baby", "friend classmate peer groupmate",
+        "instructor teacher class community ceremony committee elder chief assignment apology apologize anthem ritual",
+    )
+)
+PRONOUNS = "('he', 'she', 'they', 'it', 'we', 'i', 'you')"
+
+
+@check("dialogue_hints", f"""
+WITH c AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[A-Z][a-z]{{2,}}') AS w,
+   coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM conversations),
+n AS (SELECT *, w[1] AS a, w[len(w)] AS b FROM c
+   WHERE len(w) >= 2 AND NOT regexp_matches(text, '{QUOTED.replace("'", "''")}') AND NOT regexp_matches(text, '{ADDRESSED}'))
+SELECT conv_id, turn, true AS direct, CASE WHEN lower(a) IN {PRONOUNS} THEN NULL ELSE a END AS speaker,
+  CASE WHEN lower(b) IN {PRONOUNS} THEN NULL ELSE b END AS listener,
+  nullif(concat_ws(', ', CASE WHEN regexp_matches(before || chr(10) || text, '(?i)\\b(?:{FAMILY})\\b') THEN 'family_or_caregiver_child' END,
+   CASE WHEN regexp_matches(before || chr(10) || text, '(?i)\\b(?:{PEER})\\b') THEN 'peer_or_friend' END,
+   CASE WHEN regexp_matches(text, '(?i)\\b(?:{RITE})\\b') THEN 'institutional_or_ritualized' END), '') AS cues FROM n""")
 def _(spark, sf):
-    line = F.when(F.col("node_id") == 0, F.lit("“Yes.” he smiled")).otherwise(F.lit("“Come here,” Mary said to John"))
-    hint = U.dialogue_hint(line, F.lit("her mother"), F.lit("paragraph"), "doc_format")
-    return C.nodes(spark, sf).select("doc_id", "node_id", hint.alias("h")).select(
-        "doc_id", "node_id", F.col("h.is_direct_speech").alias("direct"), F.col("h.speaker_candidate").alias("speaker"),
+    turns = read_table(spark, sf, "conversations")
+    names = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    named = turns.select("conv_id", "turn", "text", before.alias("before"), names.alias("w")).where(
+        (F.size("w") >= 2) & ~F.col("text").rlike(QUOTED) & ~F.col("text").rlike(ADDRESSED)
+    )
+    line = F.concat(F.lit("“"), "text", F.lit("” "), F.get("w", F.lit(0)), F.lit(" said to "), F.element_at("w", -1))
+    hint = U.dialogue_hint(line, F.col("before"), F.lit("paragraph"), F.lit("docx"))
+    return named.select("conv_id", "turn", hint.alias("h")).select(
+        "conv_id", "turn", F.col("h.is_direct_speech").alias("direct"), F.col("h.speaker_candidate").alias("speaker"),
         F.col("h.listener_candidate").alias("listener"), F.col("h.local_relation_cues").alias("cues"),
     )
 

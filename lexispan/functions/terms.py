@@ -92,7 +92,7 @@ def bad_body_ngram(term) -> Column:
         lambda ws: (F.size(ws) == 0)
         | F.try_element_at(ws, F.lit(-1)).isin(K.FUNCTION_WORDS)
         | F.get(ws, F.lit(0)).isin(K.FUNCTION_WORDS)
-        | F.exists(F.slice(ws, 2, 1000), lambda w: w.isin(K.LEADING_STOPWORDS)),
+        | F.exists(F.slice(ws, 2, F.size(ws)), lambda w: w.isin(K.LEADING_STOPWORDS)),
     )
     return bad | ~title_like(term)
 

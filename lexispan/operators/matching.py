@@ -1,9 +1,11 @@
 """Which terms occur in which texts, and lookups by source form.
 
-The join key of a form is its rarest token. Tokens are runs of letters and
-digits, exactly the characters that a whole-word match may not touch, so a
-form can only occur in a text that has the token. The pattern is then checked
-on the survivors. Forms without such a token use one of their characters.
+The join key of a form is its rarest token. Tokens are runs of exactly the
+characters that a match may not touch in the mode at hand (Latin letters,
+digits and Hangul for ``words``; lower-case Latin letters and digits for
+``key_words``), so a form can only occur in a text that has the token. The
+pattern is then checked on the survivors. Forms without such a token use one of
+their characters.
 """
 
 from __future__ import annotations
@@ -26,16 +28,23 @@ from ..functions.text import (
 )
 from .ordering import top_k
 
-TOKEN = "[A-Za-z0-9가-힣]+"
+#: Characters that a match may not touch, by mode.
+SOLID = {"words": "A-Za-z0-9가-힣", "key_words": "a-z0-9"}
+#: Character runs that a text row is compared with at a time.
+RUNS_AT_ONCE = 1024
 
 
-def match_tokens(t) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text(t)), F.lit(TOKEN), F.lit(0)))
+def match_tokens(t, mode: str = "words") -> Column:
+    return F.array_distinct(F.regexp_extract_all(_indexed(t, mode), F.lit(f"[{SOLID[mode]}]+"), F.lit(0)))
 
 
-def _signs(t) -> Column:
+def _signs(t, mode: str) -> Column:
     """Distinct characters outside the token alphabet."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text(t)), F.lit(r"(?U)[^A-Za-z0-9가-힣\s]"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(_indexed(t, mode), F.lit(rf"(?U)[^{SOLID[mode]}\s]"), F.lit(0)))
+
+
+def _indexed(t, mode: str) -> Column:
+    return F.lower(text(t)) if mode == "words" else document_key(t)
 
 
 WORDS, KEY_WORDS, KEY_INSIDE = "words", "key_words", "key_inside"
@@ -76,21 +85,30 @@ def match_forms(
     if mode == KEY_INSIDE:
         text_tokens, tokens = _grams(document_key(body)), _form_grams(document_key(form))
     else:
-        text_tokens = F.array_union(match_tokens(body), _signs(body))
-        tokens = match_tokens(form)
-        tokens = F.when(F.size(tokens) > 0, tokens).otherwise(F.slice(_signs(form), 1, 1))
+        text_tokens = F.array_union(match_tokens(body, mode), _signs(body, mode))
+        tokens = match_tokens(form, mode)
+        tokens = F.when(F.size(tokens) > 0, tokens).otherwise(_signs(form, mode))
     usable = strip(form) if mode == WORDS else document_key(form)
     named = forms.where(usable != "").withColumn(
         "_fid", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in forms.columns])
     )
     keyed = named.withColumn("_all", tokens).withColumn("_t", F.explode("_all"))
-    in_texts = texts.select(*text_key, *[s for s in scope if s not in text_key], F.explode(text_tokens).alias("_t"))
+    kept = [*text_key, *[s for s in scope if s not in text_key]]
     if mode == KEY_INSIDE:
-        # Character runs are many and none is very common inside one document: any
-        # one run of the form will do, and the texts are read once.
-        chosen = keyed.groupBy(*scope, "_fid", form).agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
-        keys = in_texts.join(chosen, [*scope, "_t"]).drop("_t")
-        return _verify(keys, named, texts, text_key, scope, body, form, mode)
+        # Any one run of the form will do; the one with the fewest common letters.
+        common = F.length("_t") - F.length(F.translate("_t", "etaoinsrhl ", ""))
+        chosen = keyed.groupBy(*scope, "_fid", form).agg(F.min_by("_t", F.struct(common, F.xxhash64("_t"))).alias("_t"))
+        # The wanted runs of a scope meet its texts as arrays, so that only runs that are
+        # wanted and present become rows.
+        wanted = chosen.select(*scope, "_t").distinct()
+        sizes = wanted.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / RUNS_AT_ONCE).alias("_n"))
+        blocks = (
+            wanted.join(sizes, scope).withColumn("_b", F.pmod(F.xxhash64("_t"), F.col("_n")))
+            .groupBy(*scope, "_b").agg(F.collect_list("_t").alias("_wanted"))
+        )
+        met = texts.join(blocks, scope).select(*kept, F.explode(F.array_intersect(text_tokens, "_wanted")).alias("_t"))
+        return _verify(met.join(chosen, [*scope, "_t"]).drop("_t"), named, texts, text_key, scope, body, form, mode)
+    in_texts = texts.select(*kept, F.explode(text_tokens).alias("_t"))
     wanted = keyed.select(*scope, "_t").distinct()
     postings = in_texts.join(wanted, [*scope, "_t"], "left_semi")
     # How common each form token is over the texts; a form with an unseen token drops out.

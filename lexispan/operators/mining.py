@@ -378,24 +378,26 @@ def prune_nested(terms: DataFrame, keys: list[str]) -> DataFrame:
     kept = [c for c in terms.columns if c not in keys]
     own = F.struct(*kept)
     none = F.lit(None).cast(terms.select(own.alias("x")).schema["x"].dataType)
-    sizes = range(2, 10)
     offers = F.when(
         F.size(ws) >= 2, F.transform(runs, lambda r: F.struct(r.alias("run"), none.alias("own")))
     ).otherwise(F.array().cast(f"array<struct<run:string,own:{none_type(terms, own)}>>"))
     itself = F.array(F.struct(F.array_join(ws, " ").alias("run"), own.alias("own")))
     spread = terms.select(
-        *keys, F.col("frequency").alias("_f"), F.least(F.col("token_count"), F.lit(9)).alias("_n"),
-        F.explode(F.concat(itself, offers)).alias("_o"),
+        *keys, F.col("frequency").alias("_f"), F.col("token_count").alias("_n"), F.explode(F.concat(itself, offers)).alias("_o"),
+    ).withColumn("_run", F.col("_o.run"))
+    # One shuffle on the run: the term itself meets the best frequency offered by
+    # longer terms of each length; no list of containers is kept.
+    dealt = spread.repartition(*keys, "_run")
+    by_length = dealt.groupBy(*keys, "_run", "_n").agg(
+        F.collect_list("_o.own").alias("_own"), F.max(F.when(F.col("_o.own").isNull(), F.col("_f"))).alias("_f")
     )
-    # One shuffle on the run: the term itself meets the best frequency offered
-    # by longer terms of each length; no list of containers is kept.
-    met = spread.groupBy(*keys, F.col("_o.run").alias("_run")).agg(
-        F.collect_list("_o.own").alias("_own"),
-        *[F.max(F.when(F.col("_o.own").isNull() & (F.col("_n") == n), F.col("_f"))).alias(f"_f{n}") for n in sizes],
+    met = by_length.groupBy(*keys, "_run").agg(
+        F.flatten(F.collect_list("_own")).alias("_own"), F.collect_list(F.struct("_n", "_f")).alias("_best")
     )
-    rows = met.where(F.size("_own") > 0).select(*keys, F.explode("_own").alias("_own"), *[f"_f{n}" for n in sizes])
+    rows = met.where(F.size("_own") > 0).select(*keys, F.explode("_own").alias("_own"), "_best")
     t = F.col("_own")
-    best = F.greatest(*[F.when(t["token_count"] < n, F.col(f"_f{n}")) for n in sizes])
+    longer = F.filter("_best", lambda b: (b["_n"] > F.col("_own.token_count")) & b["_f"].isNotNull())
+    best = F.array_max(F.transform(longer, lambda b: b["_f"]))
     open_term = (t["standalone_occurrence_count"] <= 0) & ~t["has_alias"] & (t["token_count"] > 0)
     nested = open_term & (best >= F.greatest(F.lit(1.0), t["frequency"] * 0.8))
     return rows.where(~F.coalesce(nested, F.lit(False))).select(*keys, "_own.*")

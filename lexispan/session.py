@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, for clusters on which it is not installed."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{os.path.basename(root)}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
