@@ -15,7 +15,7 @@ from ..plans import pipelines as P
 from ..sources.tables import read_table
 from . import corpus as C
 from . import sqltext as S
-from .memory_checks import node_units
+from .memory_checks import INSIDE, node_units
 from .mining_checks import sections
 from .registry import check
 
@@ -320,7 +320,7 @@ def _(spark, sf):
     )
 
 
-@check("unit_batches", "WITH RECURSIVE " + S.NODES.strip() + """,
+UNIT_WALK = """,
 walk AS (
   SELECT doc_id, node_id, 1::BIGINT AS batch_id, 1 AS items, length(text) + 100 AS chars FROM nodes WHERE node_id = 0
   UNION ALL
@@ -329,7 +329,10 @@ walk AS (
     CASE WHEN w.items >= 24 OR w.chars + length(n.text) + 100 > 9000 THEN 1 ELSE w.items + 1 END,
     CASE WHEN w.items >= 24 OR w.chars + length(n.text) + 100 > 9000 THEN length(n.text) + 100 ELSE w.chars + length(n.text) + 100 END
   FROM walk w JOIN nodes n ON n.doc_id = w.doc_id AND n.node_id = w.node_id + 1)
-SELECT doc_id, node_id AS unit_id, batch_id FROM walk""")
+"""
+
+
+@check("unit_batches", "WITH RECURSIVE " + S.NODES.strip() + UNIT_WALK + "SELECT doc_id, node_id AS unit_id, batch_id FROM walk")
 def _(spark, sf):
     return batching.assign_unit_batches(node_units(spark, sf)).select("doc_id", "unit_id", "batch_id")
 
@@ -350,7 +353,23 @@ def _(spark, sf):
     )
 
 
-@check("translation_context")
+@check("translation_context", "WITH RECURSIVE " + S.GLOSSARY.strip() + "," + INSIDE + UNIT_WALK + """
+, r AS (SELECT doc_id, batch_id, term_id, row_number() OVER (PARTITION BY doc_id, batch_id ORDER BY
+    CASE WHEN preferred_target IS NULL THEN 0 ELSE 1 END DESC, CASE status WHEN 'preferred' THEN 90 WHEN 'review_required' THEN 55 ELSE 20 END DESC,
+    length(source_term) DESC, entry_order) AS rank
+  FROM (SELECT DISTINCT i.doc_id, w.batch_id, i.term_id FROM inside i JOIN walk w ON w.doc_id = i.doc_id AND w.node_id = i.unit_id)
+  JOIN entries USING (doc_id, term_id) WHERE frequency >= 3)
+SELECT doc_id, batch_id, term_id, rank FROM r WHERE rank <= 12""")
 def _(spark, sf):
+    terms = _context(spark, sf)[0]
+    return terms.select("doc_id", "batch_id", "term_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@check("translation_sections")
+def _(spark, sf):
+    return _context(spark, sf)[1]
+
+
+def _context(spark, sf):
     rows = sections(spark, sf).withColumn("job_id", F.col("job_id").cast("bigint"))
-    return P.translation_context(C.context_units(spark, sf), C.entries(spark, sf), rows)[0]
+    return P.translation_context(node_units(spark, sf), C.entries(spark, sf), rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
@@ -367,12 +368,13 @@ def base_entries(spark, sf):
 
 
 @check("crowded_bases", G + """
-, w AS (SELECT doc_id, lower(source_term) AS key, left(lower(source_term), 3) AS base FROM terms)
+, w AS (SELECT doc_id, lower(source_term) AS key, repeat(left(lower(source_term), 1), 3) AS base FROM terms)
 SELECT doc_id, base, count(DISTINCT key) AS term_count FROM w GROUP BY ALL HAVING count(DISTINCT key) >= 4""")
 def _(spark, sf):
+    """Terms of a document share a base if they begin with one letter."""
     e = C.entries(spark, sf)
     low = F.lower("source_term")
-    split = F.concat_ws(" ", F.left(low, F.lit(3)), low)
+    split = F.concat_ws(" ", F.repeat(F.left(low, F.lit(1)), F.lit(3)), low)
     return D.ambiguous_bases(e.withColumns({"source_term": split, "source_terms": F.array(split)})).select("doc_id", "base", "term_count")
 
 
@@ -581,10 +583,10 @@ keys AS (SELECT doc_id, term_id, entry_order, unnest([a, b, c]) AS k FROM chain)
 """
 
 
-def chained(spark, sf):
-    """Entries linked by equal word beginnings or ends."""
+def chained(spark, sf, n=4):
+    """Entries linked by equal word beginnings or ends of n letters."""
     low = F.lower("source_term")
-    forms = F.array(low, F.left(low, F.lit(4)), F.right(low, F.lit(4)))
+    forms = F.array(low, F.left(low, F.lit(n)), F.right(low, F.lit(n)))
     return C.entries(spark, sf).withColumn("source_terms", forms)
 
 
@@ -602,11 +604,11 @@ def _(spark, sf):
     return D.merge_families(chained(spark, sf))
 
 
-@check("family_targets", S.with_(S.GLOSSARY, CHAIN) + """
+@check("family_targets", S.with_(S.GLOSSARY, CHAIN.replace(", 4)", ", 2)")) + """
 , m AS (SELECT k.*, CASE e.memory_kind WHEN 'analysis_candidate' THEN 4 WHEN 'term' THEN 3 ELSE 1 END AS auth, e.preferred_target AS t FROM keys k JOIN entries e USING (doc_id, term_id))
 SELECT a.doc_id, a.term_id, arg_min(b.t, b.entry_order) AS family_target FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.k = b.k AND b.auth > a.auth AND b.t IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
-    return D.family_target(chained(spark, sf))
+    return D.family_target(chained(spark, sf, 2))
 
 
 # --- actions ----------------------------------------------------------------
@@ -814,14 +816,32 @@ def _(spark, sf):
     return QR.check_batches(expected, responses).select("doc_id", "problem", "id")
 
 
-@check("adjacent_duplicates")
+# Two turns in a row get one translation; the second one is the repeat.
+TWINS = """
+WITH p AS (SELECT conv_id AS doc_id, turn AS unit_id, text AS original, first_value(text) OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) AS translated FROM conversations),
+ q AS (SELECT *, lag(translated) OVER w AS before, lag(original) OVER w AS source FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY unit_id))
+SELECT doc_id, unit_id FROM q WHERE before = translated AND source <> original AND length(regexp_replace(lower(translated), '[^\\p{L}\\p{N}]', '', 'g')) >= 24"""
+
+
+@check("adjacent_duplicates", TWINS)
 def _(spark, sf):
-    return QR.adjacent_duplicates(C.pairs(spark, sf), ["doc_id"])
+    from ..sources.tables import read_table
+
+    turns = read_table(spark, sf, "conversations")
+    pair = Window.partitionBy("conv_id", F.floor(F.col("turn") / 2)).orderBy("turn")
+    doubled = turns.select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_id"), F.col("text").alias("original"),
+        F.first("text").over(pair).alias("translated"),
+    )
+    return QR.adjacent_duplicates(doubled, ["doc_id"])
 
 
 @check("quality_report")
 def _(spark, sf):
-    return QR.quality_report(C.pairs(spark, sf), C.entries(spark, sf), "ko")
+    """Lines of a document against the line before, with the document's own entries."""
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("doc_id").orderBy("node_id")), F.col("text"))
+    pairs = C.nodes(spark, sf).select("doc_id", F.col("node_id").alias("unit_id"), F.col("text").alias("original"), before.alias("translated"), "element_type")
+    return QR.quality_report(pairs, C.entries(spark, sf), "ko")
 
 
 @check("evidence_quality", S.with_(S.NODES) + """
@@ -874,9 +894,26 @@ def _(spark, sf):
     return P.review_input(C.entries(spark, sf), mined(spark, sf), _occurrences(spark, sf))
 
 
+def _promotion(spark, sf, part):
+    def build():
+        units = node_units(spark, sf)
+        done = translated(spark, sf).select("doc_id", "unit_id", "translated")
+        terms = C.glossary(spark, sf).withColumn("confidence", F.col("candidate_score"))
+        return P.observe_and_promote(units, done, terms, "de")[part]
+
+    return C.kept(spark, sf, f"promotion_{part}", build)
+
+
 @check("observed_and_promoted")
 def _(spark, sf):
-    units = node_units(spark, sf)
-    done = translated(spark, sf).select("doc_id", "unit_id", "translated")
-    terms = C.glossary(spark, sf).withColumn("confidence", F.col("candidate_score"))
-    return P.observe_and_promote(units, done, terms, "de")[1]
+    return _promotion(spark, sf, 1)
+
+
+@check("promotion_observations")
+def _(spark, sf):
+    return _promotion(spark, sf, 0)
+
+
+@check("promotion_demotions")
+def _(spark, sf):
+    return _promotion(spark, sf, 2)

@@ -112,14 +112,22 @@ def resolver_scopes(entries: DataFrame, injections: DataFrame, observed: DataFra
 
 
 def translation_context(units: DataFrame, entries: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Relevant document terms per unit and memory sections per scope."""
-    terms = M.relevant_document_terms(units, entries)
-    batches = assign_unit_batches(units).groupBy("doc_id", "batch_id", "context_scope").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("unit_id", "text")))["text"], "\n").alias("query")
-    )
-    queries = batches.select(
-        F.col("doc_id").alias("job_id"), F.col("batch_id").alias("query_id"), F.col("context_scope").alias("scope"), "query"
+    """Relevant document terms and memory sections of each batch.
+
+    The units of a batch are looked up together: their own texts first, then
+    the contexts around them.
+    """
+    rows = assign_unit_batches(units)
+    listed = F.array_sort(F.collect_list(F.struct("unit_id", "text", "context_text", "context_scope")))
+    batches = materialize(
+        rows.groupBy("doc_id", "batch_id").agg(listed.alias("_u")).select(
+            "doc_id", "batch_id", F.array_join(F.col("_u.text"), "\n").alias("text"),
+            F.array_join(F.array_distinct(F.filter(F.col("_u.context_text"), lambda c: c != "")), "\n").alias("context_text"),
+            F.get("_u.context_scope", F.lit(0)).alias("scope"),
+        )
     )
+    terms = M.relevant_document_terms(batches.withColumnRenamed("batch_id", "unit_id"), entries).withColumnRenamed("unit_id", "batch_id")
+    queries = batches.select(F.col("doc_id").alias("job_id"), F.col("batch_id").alias("query_id"), "scope", F.col("text").alias("query"))
     return terms, select_sections(queries, sections)
 
 
