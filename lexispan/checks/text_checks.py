@@ -8,6 +8,7 @@ from ..functions import quality as Q
 from ..functions import terms as T
 from ..functions import text as X
 from ..operators import batching, mining, nodes as N, scopes, units as U
+from ..plans import pipelines as P
 from . import corpus as C
 from . import sqltext as S
 from .registry import check
@@ -454,3 +455,34 @@ def _(spark, sf):
         Q.needs_translation("text", F.lit("중국어")).alias("into_chinese"),
         Q.needs_translation("text", F.lit("xx")).alias("into_other"), X.normalize_language(named).alias("code"),
     )
+
+
+# Hints that follow the context are cut off here; they have a query of their own.
+@check(
+    "contextual_units",
+    S.with_(S.UNITS) + """
+, n AS (SELECT doc_id, node_id, section, lag(text) OVER w AS p, lead(text) OVER w AS f FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY node_id))
+SELECT u.doc_id, u.unit_id, concat_ws(chr(10), CASE WHEN u.first_node_id > 0 THEN 'SECTION_HEADING: ' || n.section END,
+  'PREVIOUS: ' || left(p, 220), 'NEXT: ' || left(f, 220)) AS context
+FROM units u JOIN n ON n.doc_id = u.doc_id AND n.node_id = u.first_node_id""",
+)
+def _(spark, sf):
+    units, _ = P.contextual_units(C.documents(spark, sf))
+    plain = F.regexp_replace(F.coalesce("context_text", F.lit("")), r"(?s)\n?ABBREVIATION_HINTS: .*$", "")
+    return units.select("doc_id", "unit_id", plain.alias("context"))
+
+
+@check(
+    "units_beside_fragments",
+    S.with_(S.UNITS) + """
+, x AS (SELECT doc_id, node_id, fragment_index, element_type, fragment_text, section, lag(fragment_text) OVER w AS p, lead(fragment_text) OVER w AS f
+   FROM fragments WINDOW w AS (PARTITION BY doc_id, node_id ORDER BY fragment_index)),
+ y AS (SELECT doc_id, element_type, fragment_text, arg_min(struct_pack(p, f, n := node_id, s := section), node_id * 1000000 + fragment_index) AS b FROM x GROUP BY ALL)
+SELECT u.doc_id, u.unit_id, concat_ws(chr(10), CASE WHEN b.n > 0 THEN 'SECTION_HEADING: ' || b.s END,
+  'SAME_PARAGRAPH_PREVIOUS: ' || right(trim(b.p), 260), 'SAME_PARAGRAPH_NEXT: ' || left(trim(b.f), 260)) AS context
+FROM units u JOIN y ON y.doc_id = u.doc_id AND y.element_type = u.element_type AND y.fragment_text = u.text""",
+)
+def _(spark, sf):
+    units, _ = P.contextual_units(C.documents(spark, sf), paragraph_context=False)
+    plain = F.regexp_replace(F.coalesce("context_text", F.lit("")), r"(?s)\n?ABBREVIATION_HINTS: .*$", "")
+    return units.select("doc_id", "unit_id", plain.alias("context"))

@@ -12,11 +12,11 @@ from ..operators import matching as M
 from ..operators import mining
 from ..operators import term_memory as TM
 from ..operators.batching import assign_scope_batches, assign_unit_batches
-from ..operators.nodes import read_nodes
+from ..operators.nodes import context_text, neighbour_context, read_nodes, table_context
 from ..operators.quality_report import quality_report  # noqa: F401
 from ..operators.retrieval import select_sections
 from ..operators.translator import Translate, translate_units
-from ..operators.units import build_units, evaluation_units
+from ..operators.units import build_units, evaluation_units, fragment_context, fragments_of, with_hints
 from ..session import materialize
 
 
@@ -58,6 +58,39 @@ def mine_corpus(docs: DataFrame, k: int | None = None) -> DataFrame:
     return scored if k is None else scored.orderBy(F.desc("candidate_score"), F.desc("frequency"), "normalized_source").limit(k)
 
 
+def contextual_units(docs: DataFrame, paragraph_context: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Units with everything a translator sees around them, and their targets.
+
+    Context is the heading, the table's caption and the neighbouring
+    paragraphs; without paragraph context, the neighbouring fragments of the
+    unit's own paragraph. Abbreviation and dialogue hints come last.
+    """
+    paged = assign_scope_batches(read_nodes(docs))
+    titles = table_context(paged).select("doc_id", "table_index", F.col("table_title").alias("_title"))
+    near = neighbour_context(paged) if paragraph_context else paged.withColumns(
+        {c: F.lit("") for c in ("previous_text", "next_text")}
+    )
+    heading = F.when(F.coalesce("element_type", F.lit("")) != "heading", F.col("section"))
+    seen = near.join(titles, ["doc_id", "table_index"], "left").withColumn(
+        "context_text", context_text("previous_text", "next_text", heading, F.coalesce("_title", "table_title"))
+    ).drop("previous_text", "next_text", "_title")
+    seen = materialize(seen)
+    units, targets = build_units(seen)
+    if not paragraph_context:
+        first = targets.groupBy("doc_id", "unit_id").agg(F.min(F.struct("node_id", "fragment_index")).alias("_t")).select("doc_id", "unit_id", "_t.*")
+        beside = first.join(fragment_context(fragments_of(seen)), ["doc_id", "node_id", "fragment_index"]).select(
+            "doc_id", "unit_id",
+            F.concat_ws("\n", *[
+                F.when(F.trim(c) != "", F.concat(F.lit(f"{label}: "), F.col(c)))
+                for label, c in (("SAME_PARAGRAPH_PREVIOUS", "previous_fragment"), ("SAME_PARAGRAPH_NEXT", "next_fragment"))
+            ]).alias("_beside"),
+        )
+        units = units.join(beside, ["doc_id", "unit_id"], "left").withColumn(
+            "context_text", F.concat_ws("\n", F.nullif("context_text", F.lit("")), F.nullif("_beside", F.lit("")))
+        ).drop("_beside")
+    return with_hints(units), targets
+
+
 def observe_and_promote(
     units: DataFrame, translations: DataFrame, terms: DataFrame, language: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
