@@ -224,6 +224,26 @@ def merge_scan(memory: DataFrame, scan: DataFrame) -> DataFrame:
     return out.unionByName(new, allowMissingColumns=True)
 
 
+def merge_occurrences(stored: DataFrame, scanned: DataFrame, memory: DataFrame, most: int = K.MAX_OCCURRENCES) -> DataFrame:
+    """Stored and scanned occurrences of each stored term, each place once, at most ``most`` spread evenly.
+
+    ``stored`` has doc_id, term_id and occ_order; ``scanned`` has
+    normalized_source in place of term_id. Both have chunk_id, unit_id and
+    source_snippet, which tell places apart.
+    """
+    from .matching import find_entries
+    from .mining import sample_evenly
+
+    keys = scanned.select("doc_id", F.col("normalized_source").alias("key")).distinct()
+    found = find_entries(keys, memory, ["doc_id"]).select("doc_id", F.col("key").alias("normalized_source"), "term_id")
+    new = scanned.join(found, ["doc_id", "normalized_source"]).drop("normalized_source").withColumn("_later", F.lit(1))
+    rows = stored.withColumn("_later", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    place = ["doc_id", "term_id", "chunk_id", "unit_id", "source_snippet"]
+    rest = [c for c in rows.columns if c not in place]
+    first = rows.groupBy(*place).agg(F.min_by(F.struct(*rest), F.struct("_later", "occ_order")).alias("_r")).select(*place, "_r.*")
+    return sample_evenly(first, ["doc_id", "term_id"], ["_later", "occ_order"], most).drop("_later")
+
+
 def memory_summary(terms: DataFrame) -> DataFrame:
     """Terms per bucket; absent buckets count zero."""
     return terms.groupBy("doc_id").agg(

@@ -16,6 +16,7 @@ from lexispan.operators import action_rules as R
 from lexispan.operators import actions as A
 from lexispan.operators import batching, matching, mining
 from lexispan.operators import document_terms as D
+from lexispan.operators import term_memory as TM
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -90,6 +91,34 @@ def test_batches_longer_than_a_block(spark, items):
     assert got == want
 
 
+def test_shared_context_counts_once(spark):
+    rng = random.Random(2)
+    rows = [(1, i, "t" * rng.randrange(1, 9), rng.choice(["c" * 30, "d" * 20, ""])) for i in range(120)]
+    units = spark.createDataFrame(rows, "doc_id long, unit_id long, text string, context_text string")
+    got = [r.batch_id for r in batching.assign_unit_batches(units, 7, 500, context_once=True).orderBy("unit_id").collect()]
+    want, batch, count, chars, held = [], 1, 0, 0, ""
+    for _, _, text, context in rows:
+        cost = len(text) + 100 + (0 if count and context == held else len(context))
+        if count and (count >= 7 or chars + cost > 500):
+            batch, count, chars = batch + 1, 0, 0
+            cost = len(text) + 100 + len(context)
+        held = context if not count else held
+        count, chars = count + 1, chars + cost
+        want.append(batch)
+    assert got == want
+
+
+def test_occurrences_are_united(spark):
+    memory = corpus.glossary(spark, SMALL).orderBy("doc_id", "term_order").limit(1)
+    term = memory.first()
+    fields = "doc_id long, {} string, occ_order long, chunk_id string, unit_id long, source_snippet string"
+    stored = spark.createDataFrame([(term.doc_id, term.term_id, i, "c", i, "s") for i in range(3)], fields.format("term_id"))
+    scanned = spark.createDataFrame([(term.doc_id, term.normalized_source, i, "c", i, "s") for i in range(2, 300)], fields.format("normalized_source"))
+    got = TM.merge_occurrences(stored, scanned, memory).collect()
+    assert len(got) == 128 and min(r.unit_id for r in got) == 0 and max(r.unit_id for r in got) == 299
+    assert len(TM.merge_occurrences(stored, scanned.where("unit_id < 5"), memory).collect()) == 5
+
+
 def test_untouched_entries_stay(spark):
     entries = corpus.entries(spark, SMALL).drop("frequency")
     one = entries.orderBy("doc_id", "term_id").limit(1).select(
