@@ -83,6 +83,23 @@ def release_staged(since: int = 0) -> None:
     _drop_paths(paths)
 
 
+def staged_since(count: int) -> list[tuple[SparkSession, str]]:
+    """What was staged after the first ``count`` tables that are there."""
+    return _staged[count:]
+
+
+def staged_count() -> int:
+    return len(_staged)
+
+
+def drop_staged(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete some of the staged tables."""
+    for table in tables:
+        if table in _staged:
+            _staged.remove(table)
+            _drop_paths([table])
+
+
 @contextlib.contextmanager
 def staging():
     """Delete what is staged inside the block when it ends; results must be written before."""
