@@ -16,7 +16,7 @@ from ..sources.tables import read_table
 from . import corpus as C
 from . import sqltext as S
 from .memory_checks import INSIDE, node_units
-from .mining_checks import sections
+from .mining_checks import SECT, SELECTED, SELECTION, sections
 from .registry import check
 
 E = S.with_(S.EVENTS)
@@ -365,9 +365,13 @@ def _(spark, sf):
     return terms.select("doc_id", "batch_id", "term_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@check("translation_sections")
+@check("translation_sections", "WITH RECURSIVE " + S.NODES.strip() + UNIT_WALK.rstrip() + ",\n" + SECT.strip() + """,
+q AS (SELECT w.doc_id AS job_id, w.batch_id AS query_id, string_agg(n.text, chr(10) ORDER BY n.node_id) AS query
+  FROM walk w JOIN nodes n ON n.doc_id = w.doc_id AND n.node_id = w.node_id WHERE w.doc_id IN (SELECT job_id FROM sections) GROUP BY ALL),
+""" + SELECTION + SELECTED)
 def _(spark, sf):
-    return _context(spark, sf)[1]
+    found = _context(spark, sf)[1]
+    return found.select("job_id", "query_id", F.col("section_index").cast("bigint").alias("section_index"), "branch")
 
 
 def _context(spark, sf):

@@ -227,9 +227,8 @@ def _(spark, sf):
     return R.section_manifest(sections(spark, sf))
 
 
-@check("selected_sections", S.with_(SECT, """
-q AS (SELECT user_id AS job_id, max(event_id) AS query_id, CASE WHEN user_id < 50 THEN max(strftime(ts, '%Y-%m-%d')) WHEN user_id < 100
-   THEN arg_max(event_type || ' ' || event_id, event_id) ELSE 'nothing like it' END AS query FROM events GROUP BY user_id),
+#: Sections of queries ``q`` (job_id, query_id, query).
+SELECTION = """
  direct AS (SELECT q.job_id, query_id, section_index, 0 AS branch FROM q JOIN sections s ON s.job_id = q.job_id AND contains(query, title)),
  t AS (SELECT job_id, section_index, """ + S.search_tokens("title || chr(10) || body") + """ AS t FROM sections),
  stat AS (SELECT job_id, count(*) AS n, avg(len(t)) AS al FROM t GROUP BY job_id),
@@ -241,9 +240,16 @@ q AS (SELECT user_id AS job_id, max(event_id) AS query_id, CASE WHEN user_id < 5
  ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id, query_id ORDER BY round(s, 9) DESC, section_index) AS r FROM score),
  bm AS (SELECT job_id, query_id, section_index, 1 AS branch FROM ranked WHERE r <= 5),
  last_ AS (SELECT job_id, section_index FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY section_index DESC) AS r FROM sections) WHERE r <= 3),
- tail AS (SELECT job_id, query_id, section_index, 2 AS branch FROM q ANTI JOIN direct USING (job_id, query_id) ANTI JOIN bm USING (job_id, query_id) JOIN last_ USING (job_id))""") + """
+ tail AS (SELECT job_id, query_id, section_index, 2 AS branch FROM q ANTI JOIN direct USING (job_id, query_id) ANTI JOIN bm USING (job_id, query_id) JOIN last_ USING (job_id))"""
+SELECTED = """
 SELECT job_id, query_id, CAST(section_index AS BIGINT) AS section_index, branch FROM (
-  SELECT * FROM direct UNION ALL SELECT * FROM bm UNION ALL SELECT * FROM tail)""")
+  SELECT * FROM direct UNION ALL SELECT * FROM bm UNION ALL SELECT * FROM tail)"""
+
+
+@check("selected_sections", S.with_(SECT, """
+q AS (SELECT user_id AS job_id, max(event_id) AS query_id, CASE WHEN user_id < 50 THEN max(strftime(ts, '%Y-%m-%d')) WHEN user_id < 100
+   THEN arg_max(event_type || ' ' || event_id, event_id) ELSE 'nothing like it' END AS query FROM events GROUP BY user_id),
+""" + SELECTION) + SELECTED)
 def _(spark, sf):
     last = F.struct("event_id", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("s"))
     rows = C.read_table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id")).agg(
