@@ -33,7 +33,7 @@ LENGTHS = np.array([[(c >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for c in ra
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_IDS = 1 << 17
 #: Distinct chunks of text whose ids a Python worker remembers before it starts anew.
-MEMO = 1_000_000
+MEMO = 500_000
 
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -129,13 +129,10 @@ def token_ids(documents: DataFrame, tokenizer_path: str, end_id: int, id_column=
         memo, tokenizer = tokenizer_memo(tokenizer_path)
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         for batch in found:
-            parts = {k: [] for k in fields}
-            for low, high, data, offsets in T.slices(batch.column(1), 1 << 21):
+            for low, high, data, offsets in T.slices(batch.column(1)):
                 ids, counts = end_ids(*encode_slice(memo, tokenizer, specials, data, offsets), end_id)
-                parts["doc_id"].append(batch.column(0).slice(low, high - low))
-                parts["n_tokens"].append(counts)
-                parts["ids"].append(T.binary(ids.astype(kind), counts))
-            yield T.batches(fields, parts)
+                columns = batch.column(0).slice(low, high - low), counts, T.binary(ids.astype(kind), counts)
+                yield T.batches(fields, {k: [c] for k, c in zip(fields, columns)})
 
     return documents.select(id_column, text_column).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
