@@ -12,9 +12,11 @@ trees bring two members at the threshold together with a chance of over
 0.999999 at the first level.
 
 A node that is still larger then holds mostly copies of one text. Its members
-are first linked to one of them, drawn at random; those that are not in the
-commonest component afterwards are compared with all members of the node, so no
-pair is left out and copies are not expanded into pairs.
+are first linked to one of them, drawn at random. Those that are not in the
+commonest component afterwards are compared with the member whose shingles are
+the commonest, and those still left meet the others on their rarest shingles
+(see ``pairs_of_rest``), which leaves no pair out and does not expand copies
+into pairs.
 
 Comparisons use one byte of each token and leave a margin; every link is
 confirmed on the full sets made from the whole texts.
@@ -42,6 +44,8 @@ SMALL = 16
 LEVELS = 3
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 4.0
+#: Ratio of set sizes that share a key among the rest of large nodes.
+STEP = 1.02
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 63, TOKENS, dtype=np.int64).astype(T.U64) * T.U64(2) + T.U64(1)
@@ -130,7 +134,7 @@ def branches(members: DataFrame, similarity: float, trees: int) -> DataFrame:
 def crowded(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two members or more, with the number of these."""
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return materialize(rows.join(sizes, "node"))
+    return materialize(rows.join(sizes, "node"), tidy=True)
 
 
 def leaves(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -207,15 +211,81 @@ def star_pairs(large: DataFrame) -> DataFrame:
     )
 
 
-def pairs_of_rest(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of a large node outside its commonest component, with every member of another component."""
+def outside_main(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of a large node outside its commonest component."""
     named = large.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
     counted = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
     most = counted.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = named.join(most.select("node", F.col("m.label").alias("main")), "node")
-    rest = mixed.where("label <> main").select("node", F.col("id").alias("other"), F.col("label").alias("other_label"))
+    return named.join(most.select("node", F.col("m.label").alias("main")), "node").where("label <> main").select("id").distinct()
+
+
+def shingle_rows(texts: DataFrame, wide: DataFrame, k: int) -> DataFrame:
+    """One row for each shingle (id, h) of the members of ``wide``."""
+
+    def explode(found):
+        for batch in found:
+            for low, high, data, offsets in T.slices(batch.column(1)):
+                hashes, of = shingle_sets(data, offsets, k)
+                ids = np.asarray(batch.column(0).slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(hashes.astype(np.int64))], ["id", "h"])
+
+    return texts.join(wide, "id", "left_semi").select("id", "body").mapInArrow(explode, "id long, h long")
+
+
+def middle_pairs(large: DataFrame, rest: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Members of ``rest`` with the middle of each of their nodes: the member whose shingles are the commonest.
+
+    Copies with many changes are often alike to the unchanged text only, and
+    that is where all common shingles are.
+    """
+    rows = shingle_rows(texts, large.select("id").distinct(), k)
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    weights = rows.join(common, "h").groupBy("id").agg(F.sum("df").alias("weight"))
+    middle = large.join(weights, "id").groupBy("node").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("m")).select(
+        "node", (-F.col("m.i")).alias("centre")
+    )
     return (
-        mixed.join(rest, "node").where("label <> other_label")
+        large.join(rest, "id", "left_semi").join(middle, "node").where("id <> centre")
+        .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    )
+
+
+def pairs_of_rest(wide: DataFrame, rest: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of a member of ``rest`` with one of ``wide`` in another component that may reach the similarity.
+
+    Two sets of n and m members that reach it share at least s of them, so with
+    all members in one order, rarest first, the first n - s + 1 of the one and
+    the first m - s + 1 of the other have one in common. What sets a copy apart
+    is rare, so copies of one text do not meet on what they all share. Sizes go
+    into the key, in steps of ``STEP``, because s depends on both.
+    """
+
+    def needed(n, m):
+        return F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
+
+    rows = shingle_rows(texts, wide, k)
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = rows.join(common, "h", "left").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("s")
+    )
+    n, step = F.col("n"), float(np.log(STEP))
+    first = n - F.ceil(n * percent / 100.0 - 1e-9) + 1
+    heads = materialize(
+        ordered.withColumn("n", F.size("s")).select("id", "n", F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("at", "e"))
+        .where("e.df > 1").select("id", "n", "at", F.col("e.h").alias("h"))
+        .join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    )
+    bucket = lambda size: F.floor(F.log(size.cast("double")) / step)
+    least = F.ceil(n * percent / 100.0 - 1e-9)
+    smallest = F.greatest(least, F.floor(F.exp(F.col("bucket") * step)))
+    asking = heads.join(rest, "id", "left_semi").withColumn(
+        "bucket", F.explode(F.sequence(bucket(least), bucket(F.floor(n * 100.0 / percent + 1e-9))))
+    ).where(F.col("at") < n - needed(n, smallest) + 1)
+    held = heads.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("label").alias("other_label"), bucket(n).alias("bucket"))
+    share = needed(n, F.col("m"))
+    return (
+        asking.join(held, ["h", "bucket"])
+        .where((F.col("label") != F.col("other_label")) & (F.col("at") < n - share + 1) & (F.col("there") < F.col("m") - share + 1))
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     )
 
@@ -256,16 +326,26 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_colu
     members = materialize(members)
     brief = materialize(members.select("id", "n", low_bytes(F.col("tokens")).alias("brief")))
     small, large = leaves(members, percent / 100)
-    first = materialize(pairs_of_small(small, brief, percent).unionByName(alike(star_pairs(large), brief, percent)).distinct())
+    first = materialize(pairs_of_small(small, brief, percent).unionByName(alike(star_pairs(large), brief, percent)).distinct(), tidy=True)
     asked = first.select(F.col("a").alias("id")).union(first.select("b")).union(large.select("id")).distinct()
     bodies = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
-    texts = materialize(bodies.join(asked, "id", "left_semi").dropDuplicates(["id"]), compression="zstd")
-    links = materialize(confirmed(first, texts, k, percent))
+    # Merged at every size: how many are asked for has no bound.
+    texts = materialize(bodies.join(asked.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), compression="zstd", tidy=True)
+    links = materialize(confirmed(first, texts, k, percent), tidy=True)
     labels = components(links)
-    if not large.isEmpty():
-        more = materialize(alike(pairs_of_rest(large, labels), brief, percent).join(first, ["a", "b"], "left_anti"))
+    tested = first
+    for find in (middle_pairs, pairs_of_rest):
+        rest = materialize(outside_main(large, labels), tidy=True)
+        if rest.isEmpty():
+            break
+        if find is middle_pairs:
+            more = middle_pairs(large, rest, texts, k)
+        else:
+            more = pairs_of_rest(large.select("id").distinct(), rest, labels, texts, k, percent)
+        more = materialize(alike(more.join(tested, ["a", "b"], "left_anti"), brief, percent), tidy=True)
         if not more.isEmpty():
-            links = materialize(links.unionByName(confirmed(more, texts, k, percent)))
+            tested = tested.unionByName(more)
+            links = materialize(links.unionByName(confirmed(more, texts, k, percent)), tidy=True)
             labels = components(links)
     ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left").select(

@@ -176,6 +176,9 @@ def test_structure():
     assert marked and main == ["Head & more", "First para next <b>", "Second © &am", "Third"]
     assert host_text.read_page("<p>a<p>b<div>c</div>tail <broken") == ([], ["a", "b", "c", "tail"], False)
     assert host_text.read_page('<article><p>x <a title="a>b">y</a></p>') == (["x y"], [], True)
+    # An element marks the article better than a class; a class does where no element does.
+    assert host_text.read_page('<div id="content"><p>a</p><article>b</article></div>') == (["b"], [], True)
+    assert host_text.read_page('<p>x</p><div class="post-body"><p>a</p><div class="share">b</div></div>') == (["a"], [], True)
 
 
 def test_host_repeats(spark, nothing):
@@ -242,11 +245,32 @@ def test_near_duplicates(texts, documents, nothing, k):
 
 
 def test_unlike_members_of_a_large_node(spark):
-    """A node whose members fall into several components gives every link."""
-    nodes = spark.createDataFrame([(1, i) for i in range(20)], "node long, id long")
-    labels = spark.createDataFrame([(i, 0 if i < 15 else i) for i in range(20)], "id long, label long")
-    got = {(r["a"], r["b"]) for r in near_dedup.pairs_of_rest(nodes, labels).collect()}
-    assert got == {(a, b) for a, b in itertools.combinations(range(20), 2) if b >= 15}
+    """Copies with few and with many changes: some link to others only, some to none."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 4, 6, 8, 10])):
+            words[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(words)))
+        if i % 9 == 0:  # shares the changes of the one before
+            words[rng.randrange(150)] = "again"
+            rows.append((1000 + i, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)
+    want = near(rows, 4)
+    assert len({c for _, _, c in want}) > 5
+    same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()], want)
+    ids = spark.createDataFrame(rows, "id long, body string")
+    alone = ids.select("id", F.col("id").alias("label"))
+    pairs = {(r["a"], r["b"]) for r in near_dedup.pairs_of_rest(ids.select("id"), ids.select("id"), alone, ids, 4, 80).collect()}
+    linked = {
+        (a, b) for (a, s), (b, t) in itertools.combinations(sorted(rows), 2)
+        if 100 * len(shingles(s, 4) & shingles(t, 4)) >= 80 * len(shingles(s, 4) | shingles(t, 4))
+    }
+    assert linked <= pairs
 
 
 # 6. mixing
