@@ -181,6 +181,25 @@ def test_structure():
     assert host_text.read_page('<p>x</p><div class="post-body"><p>a</p><div class="share">b</div></div>') == (["a"], [], True)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single no-sidebar"><article><p>a</p></article></body>',
+        '<body class="header-fixed"><article><p>a</p></article></body>',
+        '<article class="post comments-open"><p>a</p></article>',
+        '<main class="main sidebar"><p>a</p></main>',
+        '<div id="content" class="has-sidebar"><p>a</p></div>',
+        '<div id="content" class="sidebar-left"><p>a</p></div>',
+        '<div class="sidebar-left header-top"><nav>no</nav><article><p>a</p></article></div>',
+        '<article></article><div id="content"><p>a</p></div>',
+        '<article><p>a</p><article class="comment"><p>no</p></article></article>',
+        '<article><p>a</p></article><section id="comments"><article class="comment"><p>no</p></article></section>',
+    ],
+)
+def test_class_words_lose_no_article(page):
+    assert host_text.read_page(page) == (["a"], [], True)
+
+
 def test_host_repeats(spark, nothing):
     legal = "all content of this site belongs to somebody else entirely and always"
     rows = [(1, "http://a.org/1", PAGE), (2, None, None), (3, "http://a.org/x", ""), (3, "http://a.org/x", "")]
