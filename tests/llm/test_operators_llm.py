@@ -200,6 +200,16 @@ def test_class_words_lose_no_article(page):
     assert host_text.read_page(page) == (["a"], [], True)
 
 
+def test_host_repeats_beside_an_article(spark):
+    """Text beside a marked article is kept unless it repeats; a repeat inside stays."""
+    legal = "all content of this site belongs to somebody else entirely and always"
+    page = '<div id="content"><p>before {0} {1}</p><p>Home</p><article><p>own {0}</p><p>{1}</p></article><p>after {0}</p></div>'
+    rows = [(i, f"http://a.org/{i}", page.format(i, legal)) for i in range(3)]
+    rows.append((9, "http://a.org/9", '<article></article><div class="text"><p>alone</p></div>'))
+    got = {r["page_id"]: r["text"] for r in host_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"before {i}\nown {i}\n{legal}\nafter {i}" for i in range(3)} | {9: "alone"}
+
+
 def test_host_repeats(spark, nothing):
     legal = "all content of this site belongs to somebody else entirely and always"
     rows = [(1, "http://a.org/1", PAGE), (2, None, None), (3, "http://a.org/x", ""), (3, "http://a.org/x", "")]
