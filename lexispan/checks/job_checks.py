@@ -10,6 +10,7 @@ from ..operators import batching
 from ..operators import jobs as J
 from ..operators import scopes as SC
 from ..operators import units as U
+from ..operators.ordering import dense_number, neighbours
 from ..operators.translator import mock
 from ..plans import pipelines as P
 from ..sources.tables import read_table
@@ -285,6 +286,7 @@ def _(spark, sf):
 
 
 # A turn becomes speech of its first name to its last one; turns with quotation marks of their own are left out.
+# Only what the SQL twin can say; dialogue_hints_of_turns and dialogue_hints_of_lines are the whole job.
 QUOTED, ADDRESSED = "[\"”’“‘']", "\\bto\\s+[A-Z]"
 FAMILY, PEER, RITE = (
     w.replace(" ", "|") for w in (
@@ -320,6 +322,40 @@ def _(spark, sf):
     )
 
 
+HINT_FIELDS = {
+    "direct": "is_direct_speech", "register": "register_hint", "speaker": "speaker_candidate",
+    "listener": "listener_candidate", "cues": "local_relation_cues",
+}
+
+
+def turn_hints(turns):
+    """Hint of every turn's own text, beside the turn before; null where a turn holds no direct speech."""
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    numbered = dense_number(turns.where(placed), ["conv_id"], ["turn", "text"], "_n")
+    near = neighbours(numbered, ["conv_id"], "_n", {"before": ("text", -1)}).select("conv_id", "turn", "text", "before")
+    loose = turns.where(~placed).select("conv_id", "turn", "text", F.lit(None).cast("string").alias("before"))
+    hint = U.dialogue_hint("text", "before", F.lit("paragraph"), F.lit("docx"))
+    return near.unionByName(loose).withColumn("h", hint).select("conv_id", "turn", *[F.col(f"h.{v}").alias(k) for k, v in HINT_FIELDS.items()])
+
+
+def line_hints(nodes):
+    """Hint of every line of every document, beside the line before."""
+    near = neighbours(nodes.select("doc_id", "node_id", "text", "element_type", "doc_format"), ["doc_id"], "node_id", {"before": ("text", -1)})
+    hint = U.dialogue_hint("text", "before", "element_type", "doc_format")
+    return near.withColumn("h", hint).select("doc_id", "node_id", *[F.col(f"h.{v}").alias(k) for k, v in HINT_FIELDS.items()])
+
+
+# Every row, unchanged; SQL cannot say these patterns, so there is no twin and the tests hold them against brute force.
+@check("dialogue_hints_of_turns")
+def _(spark, sf):
+    return turn_hints(read_table(spark, sf, "conversations"))
+
+
+@check("dialogue_hints_of_lines")
+def _(spark, sf):
+    return line_hints(C.nodes(spark, sf))
+
+
 UNIT_WALK = """,
 walk AS (
   SELECT doc_id, node_id, 1::BIGINT AS batch_id, 1 AS items, length(text) + 100 AS chars FROM nodes WHERE node_id = 0

@@ -1,5 +1,7 @@
 """Hand-written expectations for text, term and quality functions."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from lexispan.functions import evidence as E
@@ -175,6 +177,59 @@ def test_hints(one):
     assert hint["speaker_candidate"] == "Mary" and hint["listener_candidate"] == "John"
 
 
+def brute_hint(t, before):
+    """Direct speech of a text by plain regular expressions: None, or speaker, listener and cues."""
+    find = lambda p, s: re.search(re.sub(r"^\(\?(i?)U\)", lambda m: "(?i)" if m[1] else "", p), s or "")
+
+    def person(*patterns):
+        for p in patterns:
+            m = find(p, t)
+            name = re.sub(r"\s+(?:had|has|was|is)$", "", " ".join(m[1].split()).strip(" ,.:;\"'“”‘’")) if m else ""
+            if name and name.lower() not in ("he", "she", "they", "it", "we", "i", "you"):
+                return name[:80]
+
+    if not any(find(p, t) for p in (U.STARTS_WITH_QUOTE, U.SPEAKER_BEFORE, U.SPEAKER_AFTER_QUOTE)):
+        return None
+    both = (before or "") + "\n" + (t or "")
+    cues = [
+        name for p, s, name in (
+            (U.FAMILY_WORDS, both, "family_or_caregiver_child"), (U.PEER_WORDS, both, "peer_or_friend"),
+            (U.INSTITUTION_WORDS, t, "institutional_or_ritualized"),
+        ) if find(p, s)
+    ]
+    return person(U.SPEAKER_AFTER_QUOTE, U.SPEAKER_BEFORE), person(U.LISTENER), ", ".join(cues) or None
+
+
+def test_dialogue_hints_of_every_row(spark):
+    """No turn and no line is left out or changed."""
+    from lexispan.checks.job_checks import line_hints, turn_hints
+    from lexispan.operators.nodes import read_nodes
+
+    texts = [
+        "“Come here,” Mary said to John Smith.", "no names at all", '"Don\'t," she whispered to Ann', "'Tis late", "‘Yes,’ Mother replied",
+        None, "", "Peter's friend asked the teacher to Paul", "We went to Rome.", "The ritual began", "“Only a quote”", "the old man had said so",
+    ]
+    turns = [(i % 2, i, t) for i, t in enumerate(texts)] + [(None, 3, texts[0]), (7, None, texts[2])]
+    got = turn_hints(spark.createDataFrame(turns, "conv_id long, turn long, text string")).collect()
+    want = []
+    for c, n, t in turns:
+        before = next((x for d, m, x in turns if c is not None and n is not None and (d, m) == (c, n - 2)), None)
+        want.append((c, n, brute_hint(t, before)))
+    read = lambda r: (r["speaker"], r["listener"], r["cues"]) if r["direct"] else None
+    assert sorted(((r["conv_id"], r["turn"], read(r)) for r in got), key=repr) == sorted(want, key=repr)
+    hints = {(c, n): h for c, n, h in want}
+    assert hints[0, 0] == ("Mary", "John Smith", None) and hints[1, 1] is None and hints[0, 2][1] == "Ann" and hints[0, 4][0] == "Mother"
+    docs = spark.createDataFrame([(5, "\n".join(t or "" for t in texts), "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    nodes = read_nodes(docs)
+    kinds = {r["node_id"]: r for r in nodes.collect()}
+    lines = {r["node_id"]: r for r in line_hints(nodes).collect()}
+    assert len(lines) == len(kinds) and any(r["direct"] for r in lines.values())
+    for n, r in kinds.items():
+        before = kinds[n - 1]["text"] if n - 1 in kinds else None
+        own = brute_hint(r["text"], before) if (r["element_type"] or "").strip() in ("paragraph", "list_item", "") else None
+        assert read(lines[n]) == own, r["text"]
+
+
 def test_cleanup(spark):
     assert rows(spark, ["NATO 는 서버 (ABC) 와"], X.cleanup_translation) == ["NATO는 서버(ABC)와"]
 
