@@ -4,9 +4,10 @@ Letters A to Z are lowered and a text becomes its words with one blank between
 them. Exact phrases are found on hashes of words. For notices with errors the
 pigeonhole principle gives seeds: a notice that may differ in k characters is
 split into k + 1 pieces, and any passage within k errors holds one of them
-unchanged. Places of seeds give windows just wide enough for the notice, and
-the regex library's bounded-error matching decides there and reports the span
-and the number of errors.
+unchanged. Places of seeds give windows just wide enough for the notice, one
+for the seeds of one alignment. The regex library's bounded-error matching
+decides there, and again before and behind each match it reports with its span
+and number of errors, so no worse match beside a better one is lost.
 
 Null and empty texts have no words and no labels. Repeated rows get the same
 result. A text of any length is searched whole.
@@ -14,6 +15,8 @@ result. A text of any length is searched whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,32 +59,62 @@ class Notice:
         self.pattern = regex.compile(f"(?b)(?:{regex.escape(wording, literal_spaces=True)}){{e<={self.errors}}}")
 
     def spans(self, text: bytes, low: int = 0, high: int | None = None) -> list[tuple[int, int, int]]:
-        """(start byte, end byte, errors) of the best match about every place of a seed."""
+        """(start byte, end byte, errors) of every match; of matches that overlap by more than the errors, the best one."""
         high = len(text) if high is None else high
-        size, windows = len(self.text), []
+        size, near, windows = len(self.text), self.errors, []
         for seed, offset in self.seeds:
             at = text.find(seed, low, high)
             while at >= 0:
-                a, b = max(low, at - offset - 4 * self.errors), min(high, at - offset + size + 4 * self.errors)
+                a, b = max(low, at - offset - 4 * near), min(high, at - offset + size + 4 * near)
                 # A line break ends a text, and no window goes beyond it.
                 stop = text.find(b"\n", at, b)
-                windows.append((text.rfind(b"\n", a, at) + 1 or a, b if stop < 0 else stop))
+                windows.append((at - offset, text.rfind(b"\n", a, at) + 1 or a, b if stop < 0 else stop))
                 at = text.find(seed, at + 1, high)
-        found: set[tuple[int, int, int]] = set()
-        end = -1
-        merged: list[list[int]] = []
-        for a, b in sorted(windows):
-            if a <= end:
-                merged[-1][1] = end = max(end, b)
+        # One window for the seeds of one alignment, which may differ by the errors on both sides; so its size is bounded.
+        grouped: list[list[int]] = []
+        for place, a, b in sorted(windows):
+            if grouped and place - grouped[-1][0] <= 2 * near and a < grouped[-1][2]:
+                grouped[-1][1:] = [min(a, grouped[-1][1]), max(b, grouped[-1][2])]
             else:
-                merged.append([a, b])
-                end = b
-        for a, b in merged:
+                grouped.append([place, a, b])
+        found: set[tuple[int, int, int]] = set()
+        for _, a, b in grouped:
             # Bytes of other scripts count one error each, as any other change.
             piece = text[a:b].decode("latin-1")
-            for m in self.pattern.finditer(piece):
-                found.add((a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
-        return sorted(found)
+            parts = [(0, len(piece))]
+            while parts:
+                # The best match of a part comes first; worse ones lie before and behind it.
+                i, j = parts.pop()
+                m = self.pattern.search(piece, i, j) if j - i >= size - near else None
+                if m and m.end() > m.start():
+                    found.add((a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
+                    parts += [(i, min(m.start() + near, m.end() - 1)), (max(m.end() - near, m.start() + 1), j)]
+        return apart(found, near)
+
+
+def apart(found: set[tuple[int, int, int]], near: int) -> list[tuple[int, int, int]]:
+    """Spans with fewest errors first, each one that overlaps none taken before by more than ``near``."""
+    taken: list[tuple[int, int, int]] = []
+    run: list[tuple[int, int, int]] = []
+    end = -1
+
+    def settle():
+        chosen: list[tuple[int, int, int]] = []
+        for a, b, errors in sorted(run, key=lambda f: (f[2], f[0], f[1])):
+            # Spans taken lie apart, so only the next ones on both sides can overlap.
+            i = bisect_left(chosen, (a, b, errors))
+            if all(min(b, d) - max(a, c) <= near for c, d, _ in chosen[max(0, i - 2) : i + 2]):
+                chosen.insert(i, (a, b, errors))
+        taken.extend(chosen)
+
+    for one in sorted(found):
+        if one[0] >= end:
+            settle()
+            run = []
+        run.append(one)
+        end = max(end, one[1])
+    settle()
+    return taken
 
 
 def phrase_places(values: np.ndarray, rows: np.ndarray, phrases=PHRASES) -> list[tuple[str, np.ndarray]]:

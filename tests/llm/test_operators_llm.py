@@ -405,6 +405,21 @@ def test_seeds_meet_every_match(edits):
         assert one.spans(("word " + "".join(s) + " other\n").encode()), "".join(s)
 
 
+@pytest.mark.parametrize("gap", [" ", " and ", " x ", " some more words between them "])
+def test_notices_close_together(gap):
+    """A worse match beside a better one, and many of them, are all found."""
+    one = license_scan.Notice("x", "released under the mit license", 10)
+    good, bad, worse = one.text, "released under the mit licence", "relased under the mit licence"
+    for texts in ([bad, good], [good, bad], [worse, bad, good, bad, worse], [bad] * 40, [good] * 5, [worse, good, worse]):
+        text = ("a " + gap.join(texts) + " z\n").encode()
+        got = one.spans(text)
+        assert len(got) == len(texts), texts
+        assert [e for _, _, e in got] == [{good: 0, bad: 1, worse: 2}[x] for x in texts]
+        starts = [2 + sum(len(x) + len(gap) for x in texts[:i]) for i in range(len(texts))]
+        assert all(abs(a - s) <= 1 for (a, _, _), s in zip(got, starts))
+    assert len(one.spans(f"{good}\n{bad}\n{good}\n".encode())) == 3
+
+
 # 9. quality rules
 
 
