@@ -14,9 +14,11 @@ trees bring two members at the threshold together with a chance of over
 A node that is still larger then holds mostly copies of one text. Its members
 are first linked to one of them, drawn at random. Those that are not in the
 commonest component afterwards are compared with the member whose shingles are
-the commonest, and those still left meet the others on their rarest shingles
-(see ``pairs_of_rest``), which leaves no pair out and does not expand copies
-into pairs.
+the commonest. At last, whatever its nodes became below, each member of a node
+that was large at the first level and is not in that node's commonest component
+meets the others on their rarest shingles (see ``pairs_of_rest``), which leaves
+no pair out and does not expand copies into pairs. So the chance of the first
+level holds for components of any size.
 
 Comparisons use one byte of each token and leave a margin; every link is
 confirmed on the full sets made from the whole texts.
@@ -137,18 +139,18 @@ def crowded(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(sizes, "node"), tidy=True)
 
 
-def leaves(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of small nodes, and of nodes that are still large at the last level."""
+def leaves(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, id) of small nodes, of nodes still large at the last level, and of those large at the first."""
     alive = crowded(branches(members.withColumn("node", F.lit(0).cast("long")), similarity, TREES))
     small = alive.where(F.col("size") <= SMALL)
-    large = alive.where(F.col("size") > SMALL)
+    large = wide = alive.where(F.col("size") > SMALL)
     for _ in range(LEVELS):
         if large.isEmpty():
             break
         below = crowded(branches(large.join(members.select("id", "tokens"), "id"), similarity, 1))
         small = small.unionByName(below.where(F.col("size") <= SMALL))
         large = below.where(F.col("size") > SMALL)
-    return small.select("node", "id"), large.select("node", "id")
+    return small.select("node", "id"), large.select("node", "id"), wide.select("node", "id")
 
 
 def least_alike(similarity: float) -> float:
@@ -211,25 +213,27 @@ def star_pairs(large: DataFrame) -> DataFrame:
     )
 
 
-def outside_main(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of a large node outside its commonest component."""
+def outside_main(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of a large node outside its commonest component, and all members of such nodes."""
     named = large.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
     counted = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
     most = counted.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return named.join(most.select("node", F.col("m.label").alias("main")), "node").where("label <> main").select("id").distinct()
+    mixed = materialize(named.join(most.select("node", F.col("m.label").alias("main")), "node"), tidy=True)
+    return mixed.where("label <> main").select("id").distinct(), mixed.select("id").distinct()
 
 
 def shingle_rows(texts: DataFrame, wide: DataFrame, k: int) -> DataFrame:
-    """One row for each shingle (id, h) of the members of ``wide``."""
+    """One row for each shingle (id, h) of the members of ``wide``, with the number of these of the member."""
 
     def explode(found):
         for batch in found:
             for low, high, data, offsets in T.slices(batch.column(1)):
                 hashes, of = shingle_sets(data, offsets, k)
                 ids = np.asarray(batch.column(0).slice(low, high - low))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(hashes.astype(np.int64))], ["id", "h"])
+                sizes = T.per_row(of, high - low)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(hashes.astype(np.int64)), pa.array(sizes[of].astype(np.int64))], ["id", "h", "n"])
 
-    return texts.join(wide, "id", "left_semi").select("id", "body").mapInArrow(explode, "id long, h long")
+    return texts.join(wide, "id", "left_semi").select("id", "body").mapInArrow(explode, "id long, h long, n long")
 
 
 def middle_pairs(large: DataFrame, rest: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -265,14 +269,15 @@ def pairs_of_rest(wide: DataFrame, rest: DataFrame, labels: DataFrame, texts: Da
 
     rows = shingle_rows(texts, wide, k)
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = rows.join(common, "h", "left").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("s")
-    )
+    # Shingles of one member only come first in its order; they meet nobody, so their number is enough.
+    ordered = rows.join(common, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     n, step = F.col("n"), float(np.log(STEP))
     first = n - F.ceil(n * percent / 100.0 - 1e-9) + 1
+    alone = n - F.size("s")
     heads = materialize(
-        ordered.withColumn("n", F.size("s")).select("id", "n", F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("at", "e"))
-        .where("e.df > 1").select("id", "n", "at", F.col("e.h").alias("h"))
+        ordered.where(first > alone)
+        .select("id", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), (first - alone).cast("int"))).alias("at", "e"))
+        .select("id", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("e.h").alias("h"))
         .join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     )
     bucket = lambda size: F.floor(F.log(size.cast("double")) / step)
@@ -314,7 +319,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_column="doc_id", text_column="text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_links (links between classes of equal sets) of every row."""
+    """doc_id, n_shingles, component_id, kept and n_confirmed_links of every row.
+
+    The last are the links between classes of equal sets that were found and
+    confirmed: enough for all components, not all there are.
+    """
     found = materialize(sketches(documents, k, id_column, text_column))
     key = ["n_shingles", "d1", "d2"]
     usable = found.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -325,9 +334,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_colu
     )
     members = materialize(members)
     brief = materialize(members.select("id", "n", low_bytes(F.col("tokens")).alias("brief")))
-    small, large = leaves(members, percent / 100)
+    small, large, wide = leaves(members, percent / 100)
     first = materialize(pairs_of_small(small, brief, percent).unionByName(alike(star_pairs(large), brief, percent)).distinct(), tidy=True)
-    asked = first.select(F.col("a").alias("id")).union(first.select("b")).union(large.select("id")).distinct()
+    asked = first.select(F.col("a").alias("id")).union(first.select("b")).union(wide.select("id")).distinct()
     bodies = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
     # Merged at every size: how many are asked for has no bound.
     texts = materialize(bodies.join(asked.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), compression="zstd", tidy=True)
@@ -335,26 +344,26 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_colu
     labels = components(links)
     tested = first
     for find in (middle_pairs, pairs_of_rest):
-        rest = materialize(outside_main(large, labels), tidy=True)
+        rest, beside = outside_main(large if find is middle_pairs else wide, labels)
         if rest.isEmpty():
-            break
+            continue
         if find is middle_pairs:
             more = middle_pairs(large, rest, texts, k)
         else:
-            more = pairs_of_rest(large.select("id").distinct(), rest, labels, texts, k, percent)
+            more = pairs_of_rest(beside, rest, labels, texts, k, percent)
         more = materialize(alike(more.join(tested, ["a", "b"], "left_anti"), brief, percent), tidy=True)
         if not more.isEmpty():
             tested = tested.unionByName(more)
             links = materialize(links.unionByName(confirmed(more, texts, k, percent)), tidy=True)
             labels = components(links)
-    ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_confirmed_links"))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left").select(
-        *[F.col(c).alias(f"_{c}") for c in key], F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        *[F.col(c).alias(f"_{c}") for c in key], F.coalesce("label", "rep").alias("label"), F.coalesce("n_confirmed_links", F.lit(0)).alias("n_confirmed_links")
     )
     rows = found.drop("tokens").join(named, [F.col(c) == F.col(f"_{c}") for c in key], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).withColumn(
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_confirmed_links", F.lit(0)).alias("n_confirmed_links")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 

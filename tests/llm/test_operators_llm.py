@@ -302,6 +302,28 @@ def test_unlike_members_of_a_large_node(spark):
     assert linked <= pairs
 
 
+def test_lost_branches_of_large_nodes(spark, monkeypatch):
+    """Whatever the levels below the first one lose, groups of more than a small node come out whole."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for i in range(22):
+            words = list(base)
+            for at in rng.sample(range(120), rng.choice([1, 2, 3])):
+                words[at] = f"x{group}.{i}.{at}"
+            rows.append((100 * group + i, " ".join(words)))
+    every = near_dedup.branches
+    lossy = lambda members, similarity, trees: every(members, similarity, trees).where(F.lit(trees > 1))
+    monkeypatch.setattr(near_dedup, "branches", lossy)
+    # At the first level only what lies in large nodes is left, as for a pair whose nodes are all large.
+    monkeypatch.setattr(near_dedup, "pairs_of_small", lambda small, brief, percent: spark.createDataFrame([], "a long, b long"))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)
+    same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()], near(rows, 4))
+
+
 # 6. mixing
 
 
