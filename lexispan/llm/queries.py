@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staged_path
 from . import (
-    fingerprints, host_text, license_scan, mixing, near_dedup, pieces, quality_ranking, repetition, substring_dedup, token_files,
+    fingerprints, host_text, license_scan, mixing, near_dedup, pieces, prefix_trie, quality_ranking, repetition, reply_trees, substring_dedup,
+    token_files, turn_repair,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,21 @@ def op4_host_text(spark, folder):
 @query
 def op7_passages(spark, folder):
     return substring_dedup.passage_digest(table(spark, folder, "documents"), window=20)
+
+
+@query
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query
+def op12_reply_trees(spark, folder):
+    return reply_trees.conversation_digest(reply_trees.formatted_conversations(table(spark, folder, "conversations")))
+
+
+ORACLES["op12_reply_trees"] = reply_trees.DIGEST_SQL
+
+
+@query
+def op13_turn_repair(spark, folder):
+    return turn_repair.repaired_conversations(table(spark, folder, "conversations"))
