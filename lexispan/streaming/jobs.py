@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed as K
-from ..operators.jobs import EVENT_STATUS, live_progress, usage_by_model
+from ..operators.jobs import EVENT_STATUS, drop_heavy, live_progress, usage_by_model
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
@@ -43,6 +44,44 @@ def job_state_stream(events: DataFrame) -> DataFrame:
     )
 
 
+class _Payload(StatefulProcessor):
+    """Last value of every payload key with the position of the event that wrote it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getMapState("values", "name string", "value string, at bigint, event_id bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest: dict[str, tuple] = {}
+        for batch in rows:
+            for name, value, at, event_id in zip(*(batch[c] for c in ("name", "value", "at", "event_id"))):
+                if name not in newest or newest[name][1:] < (int(at), int(event_id)):
+                    newest[name] = (value, int(at), int(event_id))
+        changed = []
+        for name, new in newest.items():
+            old = self.values.getValue((name,)) if self.values.containsKey((name,)) else None
+            if old and tuple(old)[1:] >= new[1:]:
+                continue
+            self.values.updateValue((name,), new)
+            changed.append((key[0], name, new[0]))
+        if changed:
+            yield pd.DataFrame(changed, columns=["job_id", "key", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def job_payload_stream(events: DataFrame) -> DataFrame:
+    """Payload keys whose value has changed: the last writer by (ts, event_id) wins, in whatever order events arrive.
+
+    ``data`` is a map; heavy keys are left out before they reach the state.
+    """
+    job_type = events.schema["job_id"].dataType.simpleString()
+    rows = drop_heavy(events, "data").select(
+        "job_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.explode("data").alias("name", "value")
+    )
+    return rows.groupBy("job_id").transformWithStateInPandas(_Payload(), f"job_id {job_type}, key string, value string", "Update", "None")
+
+
 def live_progress_stream(events: DataFrame) -> DataFrame:
     """Percent and remaining time per job; write in update mode."""
     return live_progress(events)

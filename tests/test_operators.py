@@ -228,7 +228,7 @@ def test_micro_batch_merge_is_repeatable(spark):
     memory = corpus.glossary(spark, SMALL).withColumns(extra)
     scan = memory.withColumn("frequency", F.col("frequency") + 3).drop("bucket", "term_id", "term_order", "target_term", "review_reason")
     store = {}
-    merge = foreach_batch_merge(lambda: memory, lambda df, i: store.__setitem__(i, df))
+    merge = foreach_batch_merge(lambda batch_id: memory, lambda df, i: store.__setitem__(i, df))
     merge(scan, 7)
     merge(scan, 7)
     before = memory.agg(F.sum("frequency")).first()[0]
