@@ -5,7 +5,8 @@ characters that a match may not touch in the mode at hand (Latin letters,
 digits and Hangul for ``words``; lower-case Latin letters and digits for
 ``key_words``), so a form can only occur in a text that has the token. The
 pattern is then checked on the survivors. Forms without such a token use one of
-their characters.
+their characters. Forms that may stand anywhere inside a text (``key_inside``)
+go to automata instead, see ``inside.py``.
 """
 
 from __future__ import annotations
@@ -26,12 +27,11 @@ from ..functions.text import (
     text,
     token_count,
 )
+from .inside import forms_inside
 from .ordering import top_k
 
 #: Characters that a match may not touch, by mode.
 SOLID = {"words": "A-Za-z0-9가-힣", "key_words": "a-z0-9"}
-#: Character runs that a text row is compared with at a time.
-RUNS_AT_ONCE = 1024
 
 
 def match_tokens(t, mode: str = "words") -> Column:
@@ -50,28 +50,6 @@ def _indexed(t, mode: str) -> Column:
 WORDS, KEY_WORDS, KEY_INSIDE = "words", "key_words", "key_inside"
 
 
-def _runs(chars: Column, n: int) -> Column:
-    """Character runs of one length, in linear time."""
-    if n == 1:
-        return chars
-    return F.array_compact(F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)])))
-
-
-def _grams(key) -> Column:
-    """Character runs of one to three characters; a text has every run of the texts inside it."""
-    return let(F.split(text(key), ""), lambda c: F.array_distinct(F.concat(_runs(c, 1), _runs(c, 2), _runs(c, 3))))
-
-
-def _form_grams(key) -> Column:
-    """Only the longest runs of a form are worth looking up."""
-    return let(
-        F.split(text(key), ""),
-        lambda c: F.array_distinct(
-            F.when(F.size(c) >= 3, _runs(c, 3)).when(F.size(c) == 2, _runs(c, 2)).otherwise(c)
-        ),
-    )
-
-
 def match_forms(
     texts: DataFrame, forms: DataFrame, text_key: list[str], scope: list[str], body: str = "text",
     form: str = "form", mode: str = WORDS,
@@ -82,32 +60,19 @@ def match_forms(
     ignores case; ``key_words`` does so on lower-case collapsed keys;
     ``key_inside`` accepts a form anywhere inside the text's key.
     """
-    if mode == KEY_INSIDE:
-        text_tokens, tokens = _grams(document_key(body)), _form_grams(document_key(form))
-    else:
-        text_tokens = F.array_union(match_tokens(body, mode), _signs(body, mode))
-        tokens = match_tokens(form, mode)
-        tokens = F.when(F.size(tokens) > 0, tokens).otherwise(_signs(form, mode))
     usable = strip(form) if mode == WORDS else document_key(form)
     named = forms.where(usable != "").withColumn(
         "_fid", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in forms.columns])
     )
-    keyed = named.withColumn("_all", tokens).withColumn("_t", F.explode("_all"))
     kept = [*text_key, *[s for s in scope if s not in text_key]]
     if mode == KEY_INSIDE:
-        # Any one run of the form will do; the one with the fewest common letters.
-        common = F.length("_t") - F.length(F.translate("_t", "etaoinsrhl ", ""))
-        chosen = keyed.groupBy(*scope, "_fid", form).agg(F.min_by("_t", F.struct(common, F.xxhash64("_t"))).alias("_t"))
-        # The wanted runs of a scope meet its texts as arrays, so that only runs that are
-        # wanted and present become rows.
-        wanted = chosen.select(*scope, "_t").distinct()
-        sizes = wanted.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / RUNS_AT_ONCE).alias("_n"))
-        blocks = (
-            wanted.join(sizes, scope).withColumn("_b", F.pmod(F.xxhash64("_t"), F.col("_n")))
-            .groupBy(*scope, "_b").agg(F.collect_list("_t").alias("_wanted"))
-        )
-        met = texts.join(blocks, scope).select(*kept, F.explode(F.array_intersect(text_tokens, "_wanted")).alias("_t"))
-        return _verify(met.join(chosen, [*scope, "_t"]).drop("_t"), named, texts, text_key, scope, body, form, mode)
+        keyed = named.withColumn("_key", document_key(form))
+        found = forms_inside(texts.withColumn("_body", document_key(body)), keyed, kept, scope, "_body", "_key")
+        return found.join(keyed, [*scope, "_key"]).drop("_key", "_fid")
+    text_tokens = F.array_union(match_tokens(body, mode), _signs(body, mode))
+    tokens = match_tokens(form, mode)
+    tokens = F.when(F.size(tokens) > 0, tokens).otherwise(_signs(form, mode))
+    keyed = named.withColumn("_all", tokens).withColumn("_t", F.explode("_all"))
     in_texts = texts.select(*kept, F.explode(text_tokens).alias("_t"))
     wanted = keyed.select(*scope, "_t").distinct()
     postings = in_texts.join(wanted, [*scope, "_t"], "left_semi")
@@ -128,10 +93,8 @@ def _verify(pairs, named, texts, text_key, scope, body, form, mode) -> DataFrame
     both = pairs.join(named, [*scope, "_fid", form]).join(texts.select(*text_key, F.col(body).alias("_body")), text_key)
     if mode == WORDS:
         hit = contains_term("_body", form)
-    elif mode == KEY_WORDS:
-        hit = contains_key(document_key("_body"), document_key(form))
     else:
-        hit = F.contains(document_key("_body"), document_key(form))
+        hit = contains_key(document_key("_body"), document_key(form))
     return both.where(hit).drop("_fid", "_body")
 
 
