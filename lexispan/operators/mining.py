@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed as K
 from ..functions.evidence import evidence_context, short_snippet
@@ -21,15 +22,15 @@ from ..functions.text import (
     collapse,
     frequency_in_unit,
     is_acronym_noise,
-    is_upper,
     let,
     normalize_source,
-    segment_keys,
     strip,
     text,
     token_count,
     words,
 )
+from ..session import materialize
+from .mining_kernel import MADE, candidates_of
 from .nodes import container_id, container_type
 from .ordering import dense_number
 
@@ -48,14 +49,6 @@ def type_names(bits) -> Column:
     return F.array_compact(F.array(*named))
 
 
-def _item(surface: Column, bit, aliases: Column | None = None) -> Column:
-    none = F.array().cast("array<string>")
-    return F.struct(
-        clean_term(surface).alias("surface"), F.lit(bit).alias("bits"),
-        (none if aliases is None else aliases).alias("aliases"),
-    )
-
-
 def korean_words(tokens: Column) -> Column:
     """Word tokens of a Korean segment without particles and predicate endings."""
 
@@ -81,28 +74,6 @@ def segment_words(t, korean: bool = False) -> Column:
     return F.transform(F.split(text(t), K.SEGMENT_SPLIT), tokens)
 
 
-def ngrams(ws: Column, smallest: int, signal: str) -> Column:
-    """Word runs of up to six words in which some word carries the signal.
-
-    Only runs that span a signal word are spelled out.
-    """
-
-    def spell(at):
-        def runs(n):
-            starts = F.filter(
-                F.sequence(F.lit(1), F.size(ws) - (n - 1)),
-                lambda i: F.exists(at, lambda p: (p >= i) & (p < i + n)),
-            )
-            made = F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), " "))
-            return F.when(F.size(ws) >= n, made).otherwise(F.array().cast("array<string>"))
-
-        spelled = F.concat(*[runs(n) for n in range(smallest, 7)])
-        return F.when(F.size(at) > 0, spelled).otherwise(F.array().cast("array<string>"))
-
-    numbered = F.transform(ws, lambda w, i: F.when(w.rlike(signal), i + 1))
-    return let(F.array_compact(numbered), spell)
-
-
 def paren_pairs(t, pattern: str = K.PAREN_PAIR) -> Column:
     """Full form and abbreviation of every ``Full Form (ABC)`` in a text."""
     full = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
@@ -113,183 +84,88 @@ def paren_pairs(t, pattern: str = K.PAREN_PAIR) -> Column:
     return F.filter(cleaned, lambda p: (p["full"] != "") | (p["abbr"] != ""))
 
 
-def _pair_items(t, pattern) -> Column:
-    def both(p):
-        combined = F.when(
-            (p["full"] != "") & (p["abbr"] != ""), F.concat(p["full"], F.lit(" ("), p["abbr"], F.lit(")"))
-        )
-
-        def alias(x):
-            return F.array_compact(F.array(F.nullif(x, F.lit("")), combined))
-
-        return F.array(
-            _item(p["full"], B["parenthetical_pair"], alias(p["abbr"])),
-            _item(p["abbr"], B["acronym"], alias(p["full"])),
-        )
-
-    return F.flatten(F.transform(paren_pairs(t, pattern), both))
-
-
-def candidates_in(t, korean: bool = False) -> Column:
-    """Candidates of one text, sorted by key and position: surface form, type bits, aliases."""
-    flat = collapse(t)
-    items = [_pair_items(flat, K.PAREN_PAIR)]
-    if korean:
-        items.append(_pair_items(flat, K.KOREAN_PAREN_PAIR))
-    acronyms = F.regexp_extract_all(flat, F.lit(K.ACRONYM), F.lit(0))
-    items.append(
-        F.transform(F.filter(acronyms, lambda a: ~is_acronym_noise(a)), lambda a: _item(a, B["acronym"]))
-    )
-
-    def in_segment(ws):
-        if korean:
-            single = F.filter(ws, lambda w: w.rlike("[가-힣]|^[A-Z]"))
-            phrases = ngrams(ws, 2, "[가-힣]|^[A-Z]")
-            return F.concat(
-                F.transform(single, lambda w: _item(w, B["proper_noun"])),
-                F.transform(phrases, lambda p: _item(p, B["repeated_phrase"])),
-            )
-        return F.concat(
-            F.transform(
-                F.filter(ws, single_name), lambda w: _item(w, B["single_titlecase_proper_noun"])
-            ),
-            F.transform(ngrams(ws, 2, "^[A-Z]"), lambda p: _item(p, B["repeated_phrase"])),
-        )
-
-    items.append(F.flatten(F.transform(segment_words(flat, korean), in_segment)))
-    keyed = F.transform(
-        F.filter(F.concat(*items), lambda x: x["surface"] != ""),
-        lambda x, i: F.struct(
-            normalize_source(x["surface"]).alias("key"), i.alias("i"), x["surface"].alias("surface"),
-            x["bits"].alias("bits"), x["aliases"].alias("aliases"),
-        ),
-    )
-    return F.sort_array(keyed)
-
-
-def extract_candidates(units: DataFrame, korean: bool = False) -> DataFrame:
+def extract_candidates(units: DataFrame, korean: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row per unit and candidate key, with per-unit counts.
 
-    Candidates are merged inside the unit's row, before any shuffle. The
-    surface is the first one seen, replaced by a later one that is longer or
-    all upper case.
+    Columns find words, pairs and acronyms; word runs are spelled and merged by
+    key inside the unit before any shuffle (``mining_kernel.py``). The surface is
+    the first one seen, replaced by a later one that is longer or all upper case.
+    ``carry`` names the columns of the unit that go on each row, all by default.
     """
-    rows = units.where(strip("text") != "").withColumn("_c", candidates_in("text", korean)).withColumn(
-        "_k", segment_keys("text")
+    carry = units.columns if carry is None else carry
+    flat = collapse("text")
+    pairs = paren_pairs(flat)
+    if korean:
+        pairs = F.concat(pairs, paren_pairs(flat, K.KOREAN_PAREN_PAIR))
+    pairs = F.when(F.contains("text", F.lit("(")), pairs).otherwise(F.array().cast("array<struct<full:string,abbr:string>>"))
+    acronyms = F.transform(
+        F.filter(F.regexp_extract_all(flat, F.lit(K.ACRONYM), F.lit(0)), lambda a: ~is_acronym_noise(a)), clean_term
     )
-    c = F.col("_c")
-    start = F.struct(
-        F.lit("").alias("surface"), F.lit(0).alias("bits"), F.array().cast("array<string>").alias("aliases")
+    none = F.array().cast("array<array<string>>")
+    rows = units.where(strip("text") != "").select(
+        *carry, F.col("text").alias("_text"), flat.alias("_flat"), pairs.alias("_pairs"), acronyms.alias("_acronyms"),
+        (segment_words(flat, True) if korean else none).alias("_segments"), (segment_words("text", True) if korean else none).alias("_raw"),
     )
+    schema = T.StructType([*(rows.schema[c] for c in carry), *T.StructType.fromDDL(MADE).fields])
+    found = rows.mapInArrow(lambda batches: candidates_of(batches, carry, korean, B), schema)
+    return found.withColumn("place_bits", place_bits("element_type", "is_header", F.col("raw_bits")))
 
-    def add(a, x):
-        replace = (
-            (a["surface"] == "") | (F.length(x["surface"]) > F.length(a["surface"])) | is_upper(x["surface"])
-        )
-        return F.struct(
-            F.when(replace, x["surface"]).otherwise(a["surface"]).alias("surface"),
-            a["bits"].bitwiseOR(x["bits"]).alias("bits"),
-            F.array_union(a["aliases"], x["aliases"]).alias("aliases"),
-        )
 
-    def same(x, j):
-        near = F.get(c, j)
-        return near.isNotNull() & (near["key"] == x["key"])
-
-    heads = F.filter(
-        F.transform(
-            c,
-            lambda x, i: F.when(
-                ~same(x, i - 1),
-                F.struct(
-                    x["key"].alias("key"),
-                    F.when(
-                        same(x, i + 1),
-                        F.aggregate(F.filter(c, lambda y: y["key"] == x["key"]), start, add),
-                    ).otherwise(
-                        F.struct(
-                            x["surface"].alias("surface"), x["bits"].alias("bits"), x["aliases"].alias("aliases")
-                        )
-                    ).alias("v"),
-                ),
-            ),
-        ),
-        lambda h: h.isNotNull(),
-    )
-    out = rows.select("*", F.explode(heads).alias("_h"))
-    bits = F.col("_h.v.bits")
-    element = text("element_type")
-    heading, header = element.isin(K.HEADING_ELEMENTS), F.coalesce(F.col("is_header"), F.lit(False))
+def place_bits(element_type: str, is_header: str, bits: Column) -> Column:
+    """Types that a candidate has by where its unit stands."""
+    element = text(element_type)
+    heading, header = element.isin(K.HEADING_ELEMENTS), F.coalesce(F.col(is_header), F.lit(False))
     table = element.isin(K.TABLE_ELEMENTS)
     phrase = bits.bitwiseAND(F.lit(B["repeated_phrase"] | B["acronym"] | B["parenthetical_pair"])) == B["repeated_phrase"]
+    named = bits.bitwiseAND(F.lit(B["single_titlecase_proper_noun"])) > 0
     body = ~heading & ~table & ~header
-    extra = (
-        F.when(heading, B["heading_term"]).otherwise(0)
-        .bitwiseOR(F.when(header, B["table_header_term"]).otherwise(0))
-        .bitwiseOR(F.when(body & phrase, B["body_ngram"]).otherwise(0))
-        .bitwiseOR(
-            F.when(
-                body & (bits.bitwiseAND(F.lit(B["single_titlecase_proper_noun"])) > 0), B["body_proper_noun"]
-            ).otherwise(0)
-        )
-        .bitwiseOR(F.when(table, B["table_term"]).otherwise(0))
-    )
-    surface = F.col("_h.v.surface")
-    return out.select(
-        *[F.col(x) for x in units.columns],
-        F.col("_h.key").alias("normalized_source"), surface.alias("surface"),
-        bits.alias("raw_bits"), extra.alias("place_bits"), F.col("_h.v.aliases").alias("aliases"),
-        F.array_contains("_k", F.col("_h.key")).alias("is_standalone"),
-        (korean_frequency("text", surface) if korean else frequency_in_unit("text", surface)).alias("unit_frequency"),
-    )
-
-
-def korean_frequency(t, term) -> Column:
-    """Occurrences of a token sequence in stemmed Korean segments, at least one."""
-    wanted = F.array_join(words(normalize_source(term)), " ")
-
-    def count(wanted):
-        width = F.size(F.split(wanted, " "))
-
-        def hits(norm):
-            at = F.when(F.size(norm) >= width, F.sequence(F.lit(1), F.size(norm) - width + 1)).otherwise(
-                F.array().cast("array<int>")
-            )
-            return F.size(F.filter(at, lambda i: F.array_join(F.slice(norm, i, width), " ") == wanted))
-
-        per_segment = F.transform(
-            segment_words(t, True), lambda ws: let(F.transform(ws, normalize_source), hits)
-        )
-        return F.aggregate(per_segment, F.lit(0), lambda a, n: a + n)
-
-    return F.greatest(let(wanted, count), F.lit(1))
+    placed = [(heading, "heading_term"), (header, "table_header_term"), (body & phrase, "body_ngram"), (body & named, "body_proper_noun"), (table, "table_term")]
+    out = F.lit(0)
+    for holds, name in placed:
+        out = out.bitwiseOR(F.when(holds, B[name]).otherwise(0))
+    return out
 
 
-def term_stats(candidates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def term_stats(candidates: DataFrame, keys: list[str], units: DataFrame, unit_key: list[str]) -> DataFrame:
     """Statistics per group and term; counts combine on the map side.
 
-    Frequencies follow the first surface form: a unit whose own form differs
-    (a hyphen against a blank) counts once.
+    Frequencies follow the first surface form: where the forms of a term differ
+    (a hyphen against a blank), its units are counted again for the first form.
+    Chunks and sections are told apart by their least and greatest value; only
+    terms for which these differ have theirs counted. ``candidates`` is read
+    several times and should be written before.
     """
-    element = text("element_type")
-    n = F.col("unit_frequency")
-    hyphen = F.contains(F.col("surface"), F.lit("-"))
-    stats = candidates.groupBy(*keys, "normalized_source").agg(
-        F.min(F.struct(*order, "surface")).alias("_first"),
-        F.count(F.lit(1)).alias("unit_count"),
-        F.sum(F.when(hyphen, n - 1).otherwise(0)).alias("_more_hyphen"),
-        F.sum(F.when(hyphen, 0).otherwise(n - 1)).alias("_more_blank"),
-        F.countDistinct("chunk_id").alias("chunk_count"),
-        F.countDistinct(F.nullif(strip("section"), F.lit(""))).alias("section_count"),
+    element, section = text("element_type"), F.nullif(strip("section"), F.lit(""))
+    order = [c for c in unit_key if c not in keys]
+    form = F.lower("surface")
+    stats = materialize(candidates.groupBy(*keys, "normalized_source").agg(
+        F.min(F.struct(*order, "surface")).alias("_first"), F.count(F.lit(1)).alias("unit_count"), F.sum("unit_frequency").alias("_frequency"),
+        F.min(form).alias("_form0"), F.max(form).alias("_form1"), F.min("chunk_id").alias("_chunk0"), F.max("chunk_id").alias("_chunk1"),
+        F.min(section).alias("_section0"), F.max(section).alias("_section1"),
         F.count_if(element.isin(K.HEADING_ELEMENTS)).alias("heading_count"),
         F.count_if(F.coalesce(F.col("is_header"), F.lit(False))).alias("table_header_count"),
         F.count_if(element.isin(K.TABLE_ELEMENTS)).alias("table_count"),
         F.count_if("is_standalone").alias("standalone_occurrence_count"),
         F.bit_or(F.col("raw_bits").bitwiseOR(F.col("place_bits"))).alias("_bits"),
-        F.max(F.size("aliases") > 0).alias("_aliased"),
+        F.max("has_alias").alias("_aliased"),
+    ))
+    term = [*keys, "normalized_source"]
+
+    def apart(column: Column, name: str) -> DataFrame:
+        """Distinct values of terms that have more than one."""
+        several = stats.where(F.col(f"_{name}0") < F.col(f"_{name}1")).select(*term)
+        values = candidates.select(*term, column.alias("_v")).where("_v is not null").join(several, term, "left_semi").distinct()
+        return values.groupBy(*term).agg(F.count(F.lit(1)).alias(f"_{name}s"))
+
+    mixed = stats.where("_form0 < _form1").select(*term, F.col("_first.surface").alias("_form"))
+    bodies = units.select(*unit_key, F.col("text").alias("_body"))
+    again = candidates.select(*term, *order).join(mixed, term).join(bodies, unit_key).groupBy(*term).agg(
+        F.sum(frequency_in_unit("_body", F.col("_form"))).alias("_exact")
     )
+    stats = stats.join(apart(F.col("chunk_id"), "chunk"), term, "left").join(apart(section, "section"), term, "left").join(again, term, "left")
+    one = lambda name: F.coalesce(f"_{name}s", F.col(f"_{name}0").isNotNull().cast("bigint")).alias(f"{name}_count")
+    stats = stats.select("*", one("chunk"), one("section"), F.coalesce("_exact", "_frequency").alias("frequency"))
     source = F.col("_first.surface")
-    more = F.when(F.contains(source, F.lit("-")), F.col("_more_hyphen")).otherwise(F.col("_more_blank"))
     exact_acronym = source.rlike(r"^[A-Z][A-Z0-9&/-]+\z") & ~is_acronym_noise(source)
     bits = (
         F.col("_bits")
@@ -301,8 +177,7 @@ def term_stats(candidates: DataFrame, keys: list[str], order: list[str]) -> Data
     bits = bits.bitwiseOR(F.when(bits.bitwiseAND(F.lit(noted)) == 0, B["proper_noun"]).otherwise(0))
     return stats.select(
         *keys, "normalized_source", source.alias("source_term"),
-        (F.col("unit_count") + more).alias("frequency"),
-        "unit_count", "chunk_count", "section_count", "heading_count", "table_header_count", "table_count",
+        "frequency", "unit_count", "chunk_count", "section_count", "heading_count", "table_header_count", "table_count",
         "standalone_occurrence_count", bits.alias("type_bits"), F.col("_bits").alias("raw_bits"),
         F.col("_aliased").alias("has_alias"), token_count(source).alias("token_count"),
     )

@@ -22,9 +22,12 @@ from ..session import materialize
 
 def judge_units(units: DataFrame, keys: list[str], korean: bool = False) -> DataFrame:
     """Candidate statistics with the exclusion rule, staged for the steps after it."""
-    found = mining.extract_candidates(units, korean)
-    order = [c for c in ("doc_id", "unit_id") if c not in keys]
-    return materialize(mining.judge_candidates(mining.term_stats(found, keys, order)))
+    unit_key = ["doc_id", "unit_id"]
+    carry = list(dict.fromkeys([*keys, *unit_key, "chunk_id", "section", "element_type", "is_header"]))
+    found = mining.extract_candidates(units, korean, carry)
+    # Read again for what is counted apart; without texts and alias lists it is small.
+    slim = materialize(found.withColumn("has_alias", F.size("aliases") > 0).drop("aliases"))
+    return materialize(mining.judge_candidates(mining.term_stats(slim, keys, units, unit_key)))
 
 
 def mine_units(units: DataFrame, keys: list[str], korean: bool = False, judged: DataFrame | None = None) -> DataFrame:
