@@ -1,32 +1,32 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 A document is the set of hashes of its runs of ``k`` words. Equal sets become
-one class at once, and only one member of a class goes on. Each member has
-``TOKENS`` minwise tokens. A tree of the join starts with all members; a node
-hands a member down one branch for every token whose hash, drawn anew for each
-node, is below 1 / (similarity * TOKENS). Two members at the threshold share
-about one branch of each node on the average, others fewer, so a node soon
-holds only alike members. A node of at most ``SMALL`` members is compared
-exhaustively. Larger ones branch on for ``LEVELS`` levels. ``TREES`` independent
-trees bring two members at the threshold together with a chance of over
-0.999999 at the first level.
-
-A node that is still larger then holds mostly copies of one text. Its members
-are first linked to one of them, drawn at random. Those that are not in the
-commonest component afterwards are compared with the member whose shingles are
-the commonest. At last, whatever its nodes became below, each member of a node
-that was large at the first level and is not in that node's commonest component
-meets the others on their rarest shingles (see ``pairs_of_rest``), which leaves
-no pair out and does not expand copies into pairs. So the chance of the first
-level holds for components of any size.
-
-Comparisons use one byte of each token and leave a margin; every link is
-confirmed on the full sets made from the whole texts.
+one class at once, with a number of its own, and only classes go on. Each class
+has ``TOKENS`` minwise tokens. ``TREES`` independent trees hand a class down one
+branch for every token whose hash, drawn anew for each tree, is below
+1 / (similarity * TOKENS). Two classes at the threshold share about one branch
+of each tree on the average, others fewer, so nodes mostly hold alike members,
+and the trees bring two classes at the threshold together with a chance of over
+0.999999.
+
+A node of at most ``SMALL`` members is compared exhaustively. A larger one holds
+copies of one text, or texts with one common phrase. Its members are linked to
+one of them, drawn by hash, and components are made. Members in the node's
+commonest component need no further link there. Every other member meets all
+members of its nodes exactly, on rare shingles (see ``pairs_of_rest``); this is
+where the recursion ends, so copies are never expanded into pairs and no chance
+enters below the trees.
+
+Comparisons use one byte of each token and leave a margin: a pair at the
+threshold is passed over with a chance of 1e-6. Every link is confirmed on the
+full sets made from the whole texts.
 
 Null, empty and blank texts have empty sets and are linked with nothing.
-Repeated rows are linked as equal sets. Rows without a document id are
-returned, linked with nothing. Ties of ids cannot change a component's label,
-which is its smallest id.
+Repeated rows are linked as equal sets; rows with one id and different texts are
+documents of their own that may lie in different components. Rows without a
+document id are returned, linked with nothing. Ties of ids cannot change a
+component's label, which is its smallest id. Long texts are read whole, in
+slices. An empty table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -43,9 +43,8 @@ from .components import components
 TOKENS = 64
 TREES = 16
 SMALL = 16
-LEVELS = 3
-#: Standard deviations that an estimate may lie below the threshold.
-MARGIN = 4.0
+#: Standard deviations that an estimate may lie below the threshold; by the binomial distribution, 1e-6 of the pairs at it lie lower.
+MARGIN = 5.5
 #: Ratio of set sizes that share a key among the rest of large nodes.
 STEP = 1.02
 
@@ -93,19 +92,21 @@ def sketch_slice(data: np.ndarray, offsets: np.ndarray, k: int):
 
 
 def sketches(documents: DataFrame, k: int, id_column="doc_id", text_column="text") -> DataFrame:
-    fields = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "tokens": pa.binary()}
+    fields = {"doc_id": pa.int64(), "body_hash": pa.int64(), "n_shingles": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "tokens": pa.binary()}
 
     def sketch(found):
         for batch in found:
             parts = {name: [] for name in fields}
             for low, high, data, offsets in T.slices(batch.column(1)):
                 size, d1, d2, tokens = sketch_slice(data, offsets, k)
-                row = (batch.column(0).slice(low, high - low), size, d1, d2, T.binary(tokens.reshape(-1), np.full(len(size), TOKENS)))
+                own = (batch.column(c).slice(low, high - low) for c in (0, 2))
+                row = (*own, size, d1, d2, T.binary(tokens.reshape(-1), np.full(len(size), TOKENS)))
                 for name, values in zip(fields, row):
                     parts[name].append(values)
             yield T.batches(fields, parts)
 
-    return documents.select(id_column, text_column).mapInArrow(sketch, "doc_id long, n_shingles long, d1 long, d2 long, tokens binary")
+    rows = documents.select(id_column, text_column, F.xxhash64(text_column))
+    return rows.mapInArrow(sketch, "doc_id long, body_hash long, n_shingles long, d1 long, d2 long, tokens binary")
 
 
 def token_matrix(column: pa.Array, kind=np.uint32) -> np.ndarray:
@@ -139,18 +140,10 @@ def crowded(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(sizes, "node"), tidy=True)
 
 
-def leaves(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node, id) of small nodes, of nodes still large at the last level, and of those large at the first."""
+def leaves(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of small and of large nodes."""
     alive = crowded(branches(members.withColumn("node", F.lit(0).cast("long")), similarity, TREES))
-    small = alive.where(F.col("size") <= SMALL)
-    large = wide = alive.where(F.col("size") > SMALL)
-    for _ in range(LEVELS):
-        if large.isEmpty():
-            break
-        below = crowded(branches(large.join(members.select("id", "tokens"), "id"), similarity, 1))
-        small = small.unionByName(below.where(F.col("size") <= SMALL))
-        large = below.where(F.col("size") > SMALL)
-    return small.select("node", "id"), large.select("node", "id"), wide.select("node", "id")
+    return alive.where(F.col("size") <= SMALL).select("node", "id"), alive.where(F.col("size") > SMALL).select("node", "id")
 
 
 def least_alike(similarity: float) -> float:
@@ -236,24 +229,6 @@ def shingle_rows(texts: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     return texts.join(wide, "id", "left_semi").select("id", "body").mapInArrow(explode, "id long, h long, n long")
 
 
-def middle_pairs(large: DataFrame, rest: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Members of ``rest`` with the middle of each of their nodes: the member whose shingles are the commonest.
-
-    Copies with many changes are often alike to the unchanged text only, and
-    that is where all common shingles are.
-    """
-    rows = shingle_rows(texts, large.select("id").distinct(), k)
-    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    weights = rows.join(common, "h").groupBy("id").agg(F.sum("df").alias("weight"))
-    middle = large.join(weights, "id").groupBy("node").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("m")).select(
-        "node", (-F.col("m.i")).alias("centre")
-    )
-    return (
-        large.join(rest, "id", "left_semi").join(middle, "node").where("id <> centre")
-        .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    )
-
-
 def pairs_of_rest(wide: DataFrame, rest: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of a member of ``rest`` with one of ``wide`` in another component that may reach the similarity.
 
@@ -318,60 +293,68 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.select("a", "b", "body_a", "body_b").mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_column="doc_id", text_column="text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_confirmed_links of every row.
-
-    The last are the links between classes of equal sets that were found and
-    confirmed: enough for all components, not all there are.
-    """
+def labelled(documents: DataFrame, k: int, percent: int, id_column="doc_id", text_column="text") -> DataFrame:
+    """Every row with a hash of its text, its set's size, its component, and whether it stands for the component."""
     found = materialize(sketches(documents, k, id_column, text_column))
     key = ["n_shingles", "d1", "d2"]
     usable = found.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    members = (
-        usable.join(classes, [*[usable[c] == classes[c] for c in key], usable["doc_id"] == classes["rep"]], "left_semi")
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["id"])
-    )
-    members = materialize(members)
-    brief = materialize(members.select("id", "n", low_bytes(F.col("tokens")).alias("brief")))
-    small, large, wide = leaves(members, percent / 100)
+    # One text of each class stands for it; the number is fixed by writing it.
+    stands = F.min(F.struct("doc_id", "body_hash")).alias("rep")
+    classes = usable.groupBy(*key).agg(stands, F.any_value("tokens").alias("tokens")).withColumn("id", F.monotonically_increasing_id())
+    classes = materialize(classes.select(*key, "id", "rep.doc_id", "rep.body_hash", "tokens"))
+    brief = materialize(classes.select("id", F.col("n_shingles").alias("n"), low_bytes(F.col("tokens")).alias("brief")))
+    small, large = leaves(classes.select("id", "tokens"), percent / 100)
     first = materialize(pairs_of_small(small, brief, percent).unionByName(alike(star_pairs(large), brief, percent)).distinct(), tidy=True)
-    asked = first.select(F.col("a").alias("id")).union(first.select("b")).union(wide.select("id")).distinct()
-    bodies = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
+    asked = first.select(F.col("a").alias("id")).union(first.select("b")).union(large.select("id")).distinct()
+    wanted = classes.select("id", "doc_id", "body_hash").join(asked, "id").hint("merge")
+    bodies = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("body"), F.xxhash64(text_column).alias("body_hash"))
     # Merged at every size: how many are asked for has no bound.
-    texts = materialize(bodies.join(asked.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), compression="zstd", tidy=True)
+    texts = bodies.join(wanted, ["doc_id", "body_hash"]).select("id", "body").dropDuplicates(["id"])
+    texts = materialize(texts, compression="zstd", tidy=True)
     links = materialize(confirmed(first, texts, k, percent), tidy=True)
     labels = components(links)
-    tested = first
-    for find in (middle_pairs, pairs_of_rest):
-        rest, beside = outside_main(large if find is middle_pairs else wide, labels)
-        if rest.isEmpty():
-            continue
-        if find is middle_pairs:
-            more = middle_pairs(large, rest, texts, k)
-        else:
-            more = pairs_of_rest(beside, rest, labels, texts, k, percent)
-        more = materialize(alike(more.join(tested, ["a", "b"], "left_anti"), brief, percent), tidy=True)
+    rest, beside = outside_main(large, labels)
+    if not rest.isEmpty():
+        more = pairs_of_rest(beside, rest, labels, texts, k, percent).join(first, ["a", "b"], "left_anti")
+        more = materialize(alike(more, brief, percent), tidy=True)
         if not more.isEmpty():
-            tested = tested.unionByName(more)
             links = materialize(links.unionByName(confirmed(more, texts, k, percent)), tidy=True)
             labels = components(links)
-    ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_confirmed_links"))
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left").select(
-        *[F.col(c).alias(f"_{c}") for c in key], F.coalesce("label", "rep").alias("label"), F.coalesce("n_confirmed_links", F.lit(0)).alias("n_confirmed_links")
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_confirmed_links"))
+    own = materialize(classes.join(labels, "id", "left").select(*key, "id", "doc_id", "body_hash", F.coalesce("label", "id").alias("label")))
+    least = own.groupBy("label").agg(F.min(F.struct("doc_id", "body_hash")).alias("least"))
+    named = own.join(least, "label").join(ends, "id", "left").select(
+        *[F.col(c).alias(f"_{c}") for c in key], F.col("least.doc_id").alias("component"), F.col("least.body_hash").alias("component_body"),
+        F.coalesce("n_confirmed_links", F.lit(0)).alias("n_confirmed_links"),
     )
     rows = found.drop("tokens").join(named, [F.col(c) == F.col(f"_{c}") for c in key], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_confirmed_links", F.lit(0)).alias("n_confirmed_links")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
+    first = F.when(linked, (F.col("doc_id") == F.col("component")) & (F.col("body_hash") == F.col("component_body"))).otherwise(F.lit(True))
+    return rows.select(
+        "doc_id", "body_hash", "n_shingles", component.alias("component_id"), F.coalesce("n_confirmed_links", F.lit(0)).alias("n_confirmed_links"), first.alias("stands")
     )
 
 
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_column="doc_id", text_column="text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and n_confirmed_links of every row.
+
+    The last are the links between classes of equal sets that were found and
+    confirmed: enough for all components, not all there are.
+    """
+    rows = labelled(documents, k, percent, id_column, text_column)
+    return rows.select("doc_id", "n_shingles", "component_id", "n_confirmed_links", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def without_near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_column="doc_id", text_column="text") -> DataFrame:
-    """One document of every component, the one with the smallest id; rows that repeat it go as well."""
-    keep = near_duplicates(documents, k, percent, id_column, text_column).where("kept").select(F.col("doc_id").alias("_id"))
-    stay = documents.join(keep.where("_id is not null").select("_id").distinct(), F.col(id_column) == F.col("_id"), "left_semi").dropDuplicates([id_column])
+    """One document of every component, the one with the smallest id; rows that repeat it go as well.
+
+    Rows without id stay. Documents with one id and different texts count apart.
+    """
+    stand = labelled(documents, k, percent, id_column, text_column).where("stands and doc_id is not null")
+    stand = stand.select(F.col("doc_id").alias("_id"), F.col("body_hash").alias("_body")).distinct()
+    rows = documents.where(F.col(id_column).isNotNull()).withColumn("_hash", F.xxhash64(text_column))
+    stay = rows.join(stand, (F.col(id_column) == F.col("_id")) & (F.col("_hash") == F.col("_body")), "left_semi").dropDuplicates([id_column, "_hash"]).drop("_hash")
     return stay.unionByName(documents.where(F.col(id_column).isNull()))
 
 

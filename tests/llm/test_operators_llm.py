@@ -302,6 +302,37 @@ def test_unlike_members_of_a_large_node(spark):
     assert linked <= pairs
 
 
+def test_one_id_with_two_texts(spark):
+    """Each text keeps its own links; of each group one document stays."""
+    other, base = (" ".join(f"{c}{i}" for i in range(100)) for c in "op")
+    rows = [(1, other), (1, base), (2, base + " word"), (3, other + " word"), (4, "alone by itself here now"), (5, other), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near(rows, 4)
+    assert [c for _, _, c in want] == [1, 1, 1, 1, 4, 1, 5]
+    same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame, k=4).collect()], want)
+    stay = near_dedup.without_near_duplicates(frame, k=4).collect()
+    same([(r["doc_id"], r["text"]) for r in stay], [rows[0], rows[1], rows[4], rows[6]])
+
+
+def test_planted_pairs_at_the_threshold(spark):
+    """A thousand pairs that reach the similarity by little, each of a size of its own; none may be missed."""
+    import random
+
+    rng = random.Random(11)
+    rows, linked = [], 0
+    for i in range(1000):
+        n = rng.randrange(40, 120)
+        words = [f"p{i}w{j}" for j in range(n)]
+        size = n - 3
+        # Words put on at the end take no shingle away: the union grows by as many.
+        more = int(size * 100 / 80) - size
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + [f"e{i}.{j}" for j in range(more)]))]
+        linked += 100 * size >= 80 * (size + more)
+    assert linked == 1000
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=4).collect()
+    assert sum(r["component_id"] != r["doc_id"] for r in got) == 1000
+
+
 def test_lost_branches_of_large_nodes(spark, monkeypatch):
     """Whatever the levels below the first one lose, groups of more than a small node come out whole."""
     import random
