@@ -10,12 +10,13 @@ and the trees bring two classes at the threshold together with a chance of over
 0.999999.
 
 A node of at most ``SMALL`` members is compared exhaustively. A larger one holds
-copies of one text, or texts with one common phrase. Its members are linked to
-one of them, drawn by hash, and components are made. Members in the node's
-commonest component need no further link there. Every other member meets all
-members of its nodes exactly, on rare shingles (see ``pairs_of_rest``); this is
-where the recursion ends, so copies are never expanded into pairs and no chance
-enters below the trees.
+copies of one text, or texts with one common phrase. Members are linked to one
+member, drawn by hash, of their ``STARS`` largest nodes, and components are made.
+Members in the commonest component of a node need no further link there, and
+members with ``ENOUGH`` nodes that are not large have met their partners in
+these. Every other member meets all members of its nodes exactly, on rare
+shingles (see ``pairs_of_rest``). There the recursion ends: copies are never
+expanded into pairs, and no further chance enters.
 
 Comparisons use one byte of each token and leave a margin: a pair at the
 threshold is passed over with a chance of 1e-6. Every link is confirmed on the
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -45,6 +46,10 @@ TREES = 16
 SMALL = 16
 #: Standard deviations that an estimate may lie below the threshold; by the binomial distribution, 1e-6 of the pairs at it lie lower.
 MARGIN = 5.5
+#: Large nodes in which a member is compared with one other before the exact step.
+STARS = 4
+#: Nodes that are not large and still miss every partner at the threshold with a chance of 0.2 ** 9, or 5e-7.
+ENOUGH = 9
 #: Ratio of set sizes that share a key among the rest of large nodes.
 STEP = 1.02
 
@@ -116,7 +121,7 @@ def token_matrix(column: pa.Array, kind=np.uint32) -> np.ndarray:
 
 
 def branches(members: DataFrame, similarity: float, trees: int) -> DataFrame:
-    """Children of every (node, id, tokens): the branches that the member is handed down."""
+    """Children of every (node, id, tokens): the branches that the member is handed down, and how many these are."""
     bar = T.U64(int(2.0**64 / (similarity * TOKENS)))
 
     def branch(found):
@@ -124,14 +129,17 @@ def branches(members: DataFrame, similarity: float, trees: int) -> DataFrame:
             node = np.asarray(batch.column(0)).astype(T.U64)
             ids = np.asarray(batch.column(1))
             base = T.mix(token_matrix(batch.column(2)).astype(T.U64) ^ _SALTS)
+            rows, nodes = [], []
             for tree in range(trees):
                 drawn = T.mix(base ^ T.mix(node + T.U64(tree) * T.U64(0x9E3779B97F4A7C15))[:, None])
                 row, token = np.nonzero(drawn < bar)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(T.mix(drawn[row, token]).astype(np.int64)), pa.array(ids[row])], ["node", "id"]
-                )
+                rows.append(row)
+                nodes.append(T.mix(drawn[row, token]).astype(np.int64))
+            total = np.bincount(np.concatenate(rows), minlength=len(ids))
+            for row, below in zip(rows, nodes):
+                yield pa.RecordBatch.from_arrays([pa.array(below), pa.array(ids[row]), pa.array(total[row])], ["node", "id", "total"])
 
-    return members.select("node", "id", "tokens").mapInArrow(branch, "node long, id long")
+    return members.select("node", "id", "tokens").mapInArrow(branch, "node long, id long, total long")
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -141,9 +149,15 @@ def crowded(rows: DataFrame) -> DataFrame:
 
 
 def leaves(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of small and of large nodes."""
+    """(node, id) of small nodes, and (node, id, size, total) of large ones."""
     alive = crowded(branches(members.withColumn("node", F.lit(0).cast("long")), similarity, TREES))
-    return alive.where(F.col("size") <= SMALL).select("node", "id"), alive.where(F.col("size") > SMALL).select("node", "id")
+    return alive.where(F.col("size") <= SMALL).select("node", "id"), alive.where(F.col("size") > SMALL)
+
+
+def hardly_compared(large: DataFrame) -> DataFrame:
+    """id of members with fewer than ``ENOUGH`` nodes that are not large, a node of its own included."""
+    counted = large.groupBy("id").agg(F.count(F.lit(1)).alias("n_large"), F.max("total").alias("total"))
+    return counted.where(F.col("total") - F.col("n_large") < ENOUGH).select("id")
 
 
 def least_alike(similarity: float) -> float:
@@ -198,21 +212,28 @@ def alike(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
 
 
 def star_pairs(large: DataFrame) -> DataFrame:
-    """Every member of a large node with one of them, drawn by hash."""
+    """Every member with one member, drawn by hash, of each of its ``STARS`` largest nodes.
+
+    This only saves work: whom it leaves unlinked goes on to the exact step.
+    """
     middle = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id")).alias("m")).select("node", F.col("m.id").alias("centre"))
+    order = Window.partitionBy("id").orderBy(F.desc("size"), "node")
+    largest = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= STARS)
     return (
-        large.join(middle, "node").where("id <> centre")
+        largest.join(middle, "node").where("id <> centre")
         .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     )
 
 
 def outside_main(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of a large node outside its commonest component, and all members of such nodes."""
-    named = large.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
+    """Members that are outside a large node's commonest component and hardly compared elsewhere, and all members of the nodes of these."""
+    named = large.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
     counted = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
     most = counted.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = materialize(named.join(most.select("node", F.col("m.label").alias("main")), "node"), tidy=True)
-    return mixed.where("label <> main").select("id").distinct(), mixed.select("id").distinct()
+    mixed = named.join(most.select("node", F.col("m.label").alias("main")), "node")
+    rest = materialize(mixed.where("label <> main").join(hardly_compared(large), "id", "left_semi").select("node", "id"), tidy=True)
+    beside = named.join(rest.select("node").distinct(), "node", "left_semi")
+    return rest.select("id").distinct(), materialize(beside.select("id").distinct(), tidy=True)
 
 
 def shingle_rows(texts: DataFrame, wide: DataFrame, k: int) -> DataFrame:
@@ -242,9 +263,10 @@ def pairs_of_rest(wide: DataFrame, rest: DataFrame, labels: DataFrame, texts: Da
     def needed(n, m):
         return F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
 
-    rows = shingle_rows(texts, wide, k)
+    # Only what members of the rest hold can be shared with them; other shingles come first in the order, and their number is enough.
+    held = shingle_rows(texts, rest, k).select("h").distinct()
+    rows = materialize(shingle_rows(texts, wide, k).join(held, "h", "left_semi"), tidy=True)
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # Shingles of one member only come first in its order; they meet nobody, so their number is enough.
     ordered = rows.join(common, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     n, step = F.col("n"), float(np.log(STEP))
     first = n - F.ceil(n * percent / 100.0 - 1e-9) + 1
