@@ -12,8 +12,9 @@ and the trees bring two classes at the threshold together with a chance of over
 A node of at most ``SMALL`` members is compared exhaustively. A larger one holds
 copies of one text, or texts with one common phrase. Members are linked to one
 member, drawn by hash, of their ``STARS`` largest nodes, and components are made.
-Members in the commonest component of a node need no further link there, and
-members with ``ENOUGH`` nodes that are not large have met their partners in
+Members outside the commonest component of a node are compared with one member
+of it, drawn by hash, in each of their nodes. Members in that component need no
+further link there, and members with ``ENOUGH`` nodes that are not large have met their partners in
 these. Every other member meets all members of its nodes exactly, on rare
 shingles (see ``pairs_of_rest``). There the recursion ends: copies are never
 expanded into pairs, and no further chance enters.
@@ -225,14 +226,28 @@ def star_pairs(large: DataFrame) -> DataFrame:
     )
 
 
-def outside_main(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members that are outside a large node's commonest component and hardly compared elsewhere, and all members of the nodes of these."""
+def by_component(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, id, label, main) of large nodes with more than one component; ``main`` is the commonest."""
     named = large.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
     counted = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
     most = counted.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = named.join(most.select("node", F.col("m.label").alias("main")), "node")
+    return named.join(most.select("node", F.col("m.label").alias("main")), "node")
+
+
+def main_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members outside the commonest component, hardly compared elsewhere, with one member of it in each of their nodes."""
+    mixed = materialize(by_component(large, labels), tidy=True)
+    order = F.xxhash64(F.lit("main"), F.col("node"), F.col("id"))
+    middle = mixed.where("label = main").groupBy("node").agg(F.min(F.struct(order.alias("h"), "id")).alias("m")).select("node", F.col("m.id").alias("centre"))
+    rest = mixed.where("label <> main").join(hardly_compared(large), "id", "left_semi").select("node", "id")
+    return rest.join(middle, "node").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def outside_main(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members that are outside a large node's commonest component and hardly compared elsewhere, and all members of the nodes of these."""
+    mixed = by_component(large, labels)
     rest = materialize(mixed.where("label <> main").join(hardly_compared(large), "id", "left_semi").select("node", "id"), tidy=True)
-    beside = named.join(rest.select("node").distinct(), "node", "left_semi")
+    beside = large.select("node", "id").join(rest.select("node").distinct(), "node", "left_semi")
     return rest.select("id").distinct(), materialize(beside.select("id").distinct(), tidy=True)
 
 
@@ -335,9 +350,16 @@ def labelled(documents: DataFrame, k: int, percent: int, id_column="doc_id", tex
     texts = materialize(texts, compression="zstd", tidy=True)
     links = materialize(confirmed(first, texts, k, percent), tidy=True)
     labels = components(links)
+    tested = first
+    again = alike(main_pairs(large, labels).join(tested, ["a", "b"], "left_anti"), brief, percent)
+    again = materialize(again, tidy=True)
+    if not again.isEmpty():
+        tested = tested.unionByName(again)
+        links = materialize(links.unionByName(confirmed(again, texts, k, percent)), tidy=True)
+        labels = components(links)
     rest, beside = outside_main(large, labels)
     if not rest.isEmpty():
-        more = pairs_of_rest(beside, rest, labels, texts, k, percent).join(first, ["a", "b"], "left_anti")
+        more = pairs_of_rest(beside, rest, labels, texts, k, percent).join(tested, ["a", "b"], "left_anti")
         more = materialize(alike(more, brief, percent), tidy=True)
         if not more.isEmpty():
             links = materialize(links.unionByName(confirmed(more, texts, k, percent)), tidy=True)
