@@ -242,6 +242,9 @@ def identity(doc_id: Column, text: Column) -> Column:
 
 def removals(documents: DataFrame, window: int = 20, id_column="doc_id", text_column="text") -> DataFrame:
     """u (see ``identity``), n_removed and kept_text of the documents from which words go."""
+    if window < 2 * BLOCK - 1:
+        # A shorter passage may hold no whole block of the automata.
+        raise ValueError(f"window must be at least {2 * BLOCK - 1} words")
     rows = documents.select(
         F.coalesce(F.col(id_column), F.lit(LAST)).cast("long").alias("d"), identity(F.col(id_column), F.col(text_column)).alias("u"),
         F.coalesce(F.col(text_column), F.lit("")).alias("body"),

@@ -292,3 +292,11 @@ def test_mended_costs_equal_a_full_run():
     old, new = rng.integers(0, 9, (60, 4)), rng.integers(0, 9, (60, 4))
     left = turn_repair.swept(codes, lengths, old)
     assert (turn_repair.mended(codes, lengths, old, left, new) == turn_repair.swept(codes, lengths, new)).all()
+
+
+def test_short_windows_are_refused(spark):
+    from lexispan.llm import substring_dedup
+
+    documents = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        substring_dedup.removals(documents, window=18)
