@@ -1,17 +1,22 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
 A text becomes pieces of at most ``PIECE`` characters, cut anew at each white
-space, so a change moves no piece of another word. ``k`` pieces in a row have a
-rolling (polynomial) hash. Of every ``window`` hashes in a row the smallest is
-chosen, of equal ones the rightmost, and the chosen ones are kept with their
-positions. Two texts that share ``k + window - 1`` pieces in a row share a
-chosen hash, at the same place of the shared run.
+space, so a change moves no piece of another word. Where ``RUN`` characters or
+more before a character, or behind it, have no white space (Chinese, Thai,
+code, base64), a piece begins at every character, so an inserted character
+moves no later piece there either. ``k`` pieces in a row have a rolling
+(polynomial) hash. Of every ``window`` hashes in a row the smallest is chosen,
+of equal ones the rightmost, and the chosen ones are kept with their positions.
+Two texts that share ``k + window - 1`` pieces in a row share a chosen hash, at
+the same place of the shared run.
 
 A chosen hash and its position are one long: the hash above, the position,
 counted down, below; so the smallest long is the smallest hash and of equal
 ones the rightmost. Texts of fewer than ``k`` pieces have one hash of all of
 them; null, empty and blank texts have none. Equal texts have equal
-fingerprints. Two texts without hashes are alike.
+fingerprints. Two texts without hashes are alike. Rows that repeat a document
+are rows of their own, texts of any length are read whole, columns other than
+the two named are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE = 4
+#: Characters without white space that make a run longer than usual words.
+RUN = 24
 K = 5
 WINDOW = 6
 #: Modulus and base of the rolling hash; products stay below 2**62.
@@ -28,6 +35,8 @@ BASE = 1000003
 LOW = 4294967295
 #: Documents of a block of neighbours, on the average.
 BLOCK = 256
+#: Quantiles of doc_id that blocks are cut at: COARSE times COARSE at most.
+COARSE = 64
 
 
 def let(value: Column, body) -> Column:
@@ -42,9 +51,15 @@ def rolled(values: list[Column]) -> Column:
     return total
 
 
+def piece_pattern(piece: int = PIECE, run: int = RUN) -> str:
+    """Pieces are group 1; what is taken, one character in a long run and else the piece, tells where the next one begins."""
+    inside = r"[^\x20\x09-\x0D]"
+    return rf"(?=({inside}{{1,{piece}}}))(?:(?:(?<={inside}{{{run}}})|(?={inside}{{{run + 1}}})){inside}|\1)"
+
+
 def gram_hashes(text: Column, k: int = K, piece: int = PIECE) -> Column:
     """Rolling hashes of k pieces in a row."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(piece_pattern(piece)), F.lit(1))
     values = F.transform(pieces, lambda p: F.pmod(F.xxhash64(p), F.lit(PRIME).cast("long")))
     none = F.array().cast("array<bigint>")
 
@@ -90,21 +105,50 @@ def digest(marks: Column) -> Column:
     return F.sha2(F.array_join(marks.cast("array<string>"), ","), 256)
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, body) with key, spot and block: blocks of neighbours, rising with key, then with spot.
+
+    doc_id is cut at quantiles, COARSE squared at most, and evenly between two
+    of them where a part has more than BLOCK rows; so ids far off widen only
+    the part they are in. Rows without doc_id have blocks below zero, dealt by
+    a hash of the text, ``spot``.
+    """
+    n, every, last = rows.agg(F.count("doc_id"), F.count(F.lit(1)), F.max("doc_id")).first()
+    parts = min(COARSE * COARSE, n // BLOCK + 1)
+    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts)], 4 * COARSE * COARSE)).first()[0] if n else [0]
+    bounds = sorted(set(found)) + [(last or 0) + 1]
+    coarse, fine = F.array(*map(F.lit, bounds[:-1:COARSE])), F.array(*[F.lit(b).cast("long") for b in bounds])
+    cuts = n // (BLOCK * (len(bounds) - 1)) + 1
+    none_blocks = min((every - n) // BLOCK + 1, 1 << 24)
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
+
+    keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn(
+        "spot", F.when(F.col("doc_id").isNull(), F.xxhash64("body")).otherwise(F.lit(0).cast("long"))
+    )
+    # The part of an id: steps of COARSE bounds first, then the bounds of that step.
+    stepped = keyed.withColumn("_step", F.greatest(below(coarse) - 1, F.lit(0)) * COARSE)
+    inside = F.greatest(below(F.slice(fine, F.col("_step") + 1, F.least(F.lit(COARSE), F.lit(len(bounds) - 1) - F.col("_step")))) - 1, F.lit(0))
+    parted = stepped.withColumn("_part", F.col("_step") + inside)
+    low, high = (F.get(fine, F.col("_part") + i).cast("double") for i in (0, 1))
+    cut = F.least(F.floor((F.col("doc_id").cast("double") - low) / (high - low) * cuts), F.lit(cuts - 1))
+    nowhere = F.floor((F.shiftright("spot", 39) + (1 << 24)).cast("double") * none_blocks / (1 << 25)) - none_blocks
+    block = F.when(F.col("doc_id").isNull(), nowhere).otherwise(F.col("_part") * F.lit(cuts) + F.greatest(cut, F.lit(0)))
+    return parted.withColumn("block", block.cast("long")).drop("_step", "_part")
+
+
 def with_next(rows: DataFrame) -> DataFrame:
     """Rows of (doc_id, body) in blocks of neighbours, each block followed by the row that comes next.
 
-    Order is descending doc_id, then text; rows without doc_id come last, and
-    the first row follows the last one. Returns doc_id, body, block and ghost,
-    which marks the row that is only there to follow; (ghost, key, body) is the
+    Order is descending doc_id, then text; rows without doc_id come last, in
+    the order of a hash of their texts, and the first row follows the last one.
+    Returns doc_id, body, key, spot, block and ghost, which marks the row that
+    is only there to follow; (ghost, key and spot descending, body) is the
     order in a block.
     """
-    keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    known = rows.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low = known["low"] or 0
-    width = max(1, ((known["high"] or 0) - low + 1) * BLOCK // max(known["n"], 1))
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / width)).cast("long")
-    keyed = keyed.withColumn("block", block)
-    heads = keyed.groupBy("block").agg(F.max("key").alias("head"))
+    keyed = in_blocks(rows)
+    heads = keyed.groupBy("block").agg(F.max(F.struct("key", "spot")).alias("head"))
     # The next higher block, by groups of blocks, so that no task sees all of them.
     group = F.floor(F.col("block") / 4096)
     rising = Window.partitionBy("group").orderBy("block")
@@ -114,11 +158,14 @@ def with_next(rows: DataFrame) -> DataFrame:
     ring = groups.select(
         "group", F.coalesce(F.lead("lowest").over(over), F.first("lowest").over(over)).alias("after")
     )
-    targets = grouped.join(ring, "group").select("head", F.coalesce("above", "after").alias("to"), F.col("block").alias("from"))
+    targets = grouped.join(ring, "group").select(
+        F.col("head.key").alias("head"), F.col("head.spot").alias("head_spot"), F.coalesce("above", "after").alias("to"), F.col("block").alias("from")
+    )
     first = Window.partitionBy("from").orderBy("body")
     ghosts = (
-        keyed.join(targets, F.col("key") == F.col("head")).withColumn("_turn", F.row_number().over(first)).where("_turn = 1")
-        .select("doc_id", "body", "key", F.col("to").alias("block"), F.lit(True).alias("ghost"))
+        keyed.join(targets, (F.col("key") == F.col("head")) & (F.col("spot") == F.col("head_spot")))
+        .withColumn("_turn", F.row_number().over(first)).where("_turn = 1")
+        .select("doc_id", "body", "key", "spot", F.col("to").alias("block"), F.lit(True).alias("ghost"))
     )
     return keyed.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
@@ -132,7 +179,7 @@ def edit_test(documents: DataFrame, id_column="doc_id", text_column="text") -> D
     """Fingerprints of every text and of its edited text, whose last third comes from the next text."""
     rows = documents.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("body"))
     dealt = with_next(rows).repartition("block").withColumn("marks", winnow(F.col("body")))
-    after = Window.partitionBy("block").orderBy("ghost", F.col("key").desc(), "body")
+    after = Window.partitionBy("block").orderBy("ghost", F.col("key").desc(), F.col("spot").desc(), "body")
     placed = dealt.select(
         "doc_id", "body", "ghost", "marks", F.lead("body").over(after).alias("next_body"), F.lead("marks").over(after).alias("next_marks")
     ).where(~F.col("ghost"))

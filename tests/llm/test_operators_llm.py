@@ -36,10 +36,23 @@ def lower(text):
 # 1. fingerprints
 
 
+def cut_up(text):
+    """Pieces of four characters; one at every character that has 24 or more without white space behind or before it."""
+    out = []
+    for m in WORD.finditer(text):
+        run, at = m[0], 0
+        while at < len(run):
+            out.append(run[at : at + 4])
+            at += 1 if at >= 24 or len(run) - at >= 25 else 4
+    return out
+
+
+def hashed(value):
+    return np.int64(np.uint64(xxhash.xxh64_intdigest(value.encode(), seed=42))).item()
+
+
 def winnowed(text, k=5, w=6):
-    values = [
-        np.int64(np.uint64(xxhash.xxh64_intdigest(p.encode(), seed=42))).item() % 2147483647 for p in re.findall(r"[^\x20\x09-\x0D]{1,4}", text)
-    ]
+    values = [hashed(p) % 2147483647 for p in cut_up(text)]
 
     def roll(vs):
         total = 0
@@ -67,7 +80,7 @@ def test_winnowing(spark, texts, documents):
 
 def test_edits(spark, texts, documents, nothing):
     order = sorted({(d, t or "") for d, t in texts}, key=lambda x: (x[0] is None, -(x[0] or 0)))
-    full = sorted(((d, t or "") for d, t in texts), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    full = sorted(((d, t or "") for d, t in texts), key=lambda x: (x[0] is None, -(x[0] or 0), -hashed(x[1]) if x[0] is None else 0, x[1]))
     want = []
     for i, (d, t) in enumerate(full):
         following = full[(i + 1) % len(full)][1]
@@ -92,6 +105,33 @@ def test_shared_run_is_found():
     assert {h for h, _ in a} & {h for h, _ in b}
 
 
+def test_insertion_into_a_text_without_white_space(spark):
+    letters = np.random.default_rng(3).integers(0x4E00, 0x4E00 + 2000, 3000)
+    text = "".join(map(chr, letters))
+    rows = spark.createDataFrame([(text, text[:1201] + "x" + text[1201:])], "a string, b string")
+    marks = [fingerprints.hashes(fingerprints.winnow(F.col(c))) for c in ("a", "b")]
+    assert 0.97 < rows.select(fingerprints.likeness(*marks)).first()[0] < 1
+
+
+@pytest.mark.parametrize("ids", [[*range(1, 1001), 10**15], [*range(50), *(7 * 2**40 + i * 2**33 for i in range(200))], [None] * 400 + [-(2**62), 2**62], [3] * 90])
+def test_next_document_over_blocks(spark, monkeypatch, ids):
+    """Every row is followed by the next one, however the ids lie, and no block takes all rows."""
+    monkeypatch.setattr(fingerprints, "BLOCK", 8)
+    rows = [(d, f"text {i} of {d}") for i, d in enumerate(ids)]
+    full = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), -hashed(x[1]) if x[0] is None else 0, x[1]))
+    table = spark.createDataFrame(rows, "doc_id long, body string")
+    found = fingerprints.with_next(table).collect()
+    blocks = defaultdict(list)
+    for r in found:
+        blocks[r["block"]].append((r["ghost"], -r["key"], -r["spot"], r["body"]))
+    following = {}
+    for block in blocks.values():
+        assert len(block) < 60 or len(set(ids)) == 1
+        ordered = [x[3] for x in sorted(block)]
+        following |= dict(zip(ordered, ordered[1:]))
+    assert following == {a[1]: b[1] for a, b in zip(full, full[1:] + full[:1])}
+
+
 # 2. token files
 
 
