@@ -13,7 +13,7 @@ of it lies before it. Running sums over the line go by blocks, about as many as
 a block has documents, so a source that holds a third of all rows is spread
 over many tasks.
 
-Null and empty texts have size 0 and add nothing. A null source is a source of
+Null and empty texts have size 0, add nothing and get no extra take. A null source is a source of
 its own, after all others. Rows that repeat a document count as rows of their
 own. An empty table gives an empty result.
 """
@@ -89,8 +89,8 @@ def mixture(
     )
     joined = lined.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in")))
     rest = (F.col("ratio") - F.floor("ratio")) * F.col("source_size")
-    more = (F.col("start") + F.col("ahead") + F.col("size") / 2.0 <= rest).cast("long")
-    repeats = F.floor("ratio").cast("long") + more
+    more = (F.col("start") + F.col("ahead") + F.col("size") / 2.0 <= rest) & (F.col("size") > 0)
+    repeats = F.floor("ratio").cast("long") + more.cast("long")
     return joined.select(
         "doc_id", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")
     )
@@ -133,6 +133,7 @@ def mixture_sql(weights=(5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = 17
                 rows between unbounded preceding and 1 preceding), 0)::bigint as ahead
         from sized s join targets t on s.source is not distinct from t.source
     ), taking as (
-        select *, floor(ratio)::bigint + (ahead + size / 2.0::double <= (ratio - floor(ratio)) * source_size)::bigint as repeats from lined
+        select *, floor(ratio)::bigint
+            + (size > 0 and ahead + size / 2.0::double <= (ratio - floor(ratio)) * source_size)::bigint as repeats from lined
     )
     select doc_id, size, source_size, target, repeats, (size * repeats)::bigint as taken from taking"""

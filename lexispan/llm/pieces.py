@@ -15,7 +15,9 @@ no piece covers become the pieces of their UTF-8 bytes.
 
 Null is encoded as an empty text, which has no piece. Only the character U+2581
 itself, which models use for a blank, comes back as a blank. Texts of any
-length are encoded whole.
+length are encoded whole. Rows that repeat a document are rows of their own,
+columns other than the two named are not read, and an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ class Model:
                 self.byte_id[int(self.text[i][3:5], 16)] = i
         self.above = np.array([p.ljust(self.longest, chr(0x10FFFF)) for p in self.pieces.tolist()])
         self.sizes = np.char.str_len(self.pieces)
+        self.letters = set().union(*self.pieces.tolist())
         # Bytes of every piece, for decoding.
         raw = [
             b"" if one.is_control(i) or one.is_unknown(i) else bytes([int(t[3:5], 16)]) if one.is_byte(i) else t.replace(BLANK, " ").encode()
@@ -149,9 +152,11 @@ class Model:
         return out
 
     def _encode(self, units: list[str]) -> list[list[int]]:
-        # A zero stands between units; no piece holds one.
-        chars = np.frombuffer("\0".join(u.replace(" ", BLANK).replace("\0", "") for u in units).encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(u) + u.count("\0") for u in units], np.int64)
+        # A zero stands between units; no piece holds one. For U+0000 in a unit stands a character found in no unit and no piece.
+        blanked = [u.replace(" ", BLANK) for u in units]
+        zero = self._unused(blanked) if any("\0" in u for u in units) else "\0"
+        chars = np.frombuffer("\0".join(u.replace("\0", zero) for u in blanked).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(u) for u in units], np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
         n = len(chars) + 1
         start, piece = self.edges(chars)
@@ -190,29 +195,20 @@ class Model:
         got = piece[edge]
         ids = np.where(got >= 0, self.ids[np.maximum(got, 0)], -1 - start[edge])
         out = []
-        for unit_ids, text in zip(np.split(ids, np.searchsorted(owner, np.arange(1, len(units)))), units):
+        for unit_ids in np.split(ids, np.searchsorted(owner, np.arange(1, len(units)))):
             row = unit_ids.tolist()
             if min(row, default=0) < 0:
-                row = [y for x in row for y in ([x] if x >= 0 else self._bytes(int(chars[-1 - x])))]
-                if "\0" in text:
-                    row = self._zeros(row)
+                row = [y for x in row for y in ([x] if x >= 0 else self._bytes(int(chars[-1 - x]), ord(zero)))]
             out.append(row)
         return out
 
-    def _bytes(self, point: int) -> list[int]:
-        return [int(self.byte_id[b]) for b in chr(point).encode()]
-
-    def _zeros(self, row: list[int]) -> list[int]:
-        """Two private characters stood for U+0000."""
-        mark, out, i = self._bytes(0xE000) * 2, [], 0
-        while i < len(row):
-            if row[i : i + len(mark)] == mark:
-                out.append(int(self.byte_id[0]))
-                i += len(mark)
-            else:
-                out.append(row[i])
-                i += 1
-        return out
+    def _unused(self, units: list[str]) -> str:
+        """A private character that neither units nor pieces hold."""
+        held = set().union(self.letters, *units)
+        return next(c for c in map(chr, range(0xF0000, 0x10FFFE)) if c not in held)
+
+    def _bytes(self, point: int, zero: int) -> list[int]:
+        return [int(self.byte_id[b]) for b in (b"\0" if point == zero else chr(point).encode())]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of ragged rows of ids, and how many each row has; the blank before a text goes."""

@@ -12,7 +12,10 @@ falls on it and squeezed between 0 and 1.
 Null and empty texts have features of an empty text and are scored as well.
 Rows that repeat a document get the same score. Without labels of both kinds
 every text gets 0.5. Labels that are null or belong to held-out documents are
-never read for the fit.
+never read for the fit; a label given twice counts once, and a document with
+both labels is left out. Of rows that share a sampled id the one with the
+smallest features is learned from. Texts of any length are read whole; equal scores stay equal, and a score on the cut is kept. Columns
+other than those named are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -131,9 +134,11 @@ def learn(
     sample_per_label: int = SAMPLE_PER_LABEL, cut_score: float = 0.3,
 ) -> dict | None:
     """Fit on at most ``sample_per_label`` rows of each label; the sample goes to the driver, all else stays."""
-    known = labels.select(F.col(id_column).alias("key"), F.col(label_column).cast("int").alias("label")).where(
+    named = labels.select(F.col(id_column).alias("key"), F.col(label_column).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("key").isNotNull() & ~held_out(F.col("key"))
     )
+    # A repeated label counts once, one that contradicts another not at all.
+    known = named.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most").drop("_most")
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return None
@@ -148,7 +153,9 @@ def learn(
             flat = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(flat), pa.list_(pa.float64()))], ["key", "label", "x"])
 
-    rows = texts.select("key", "body", "label").mapInArrow(measure, "key long, label int, x array<double>").toPandas()
+    # Ids may repeat among documents: one row of each goes to the driver.
+    measured = texts.select("key", "body", "label").mapInArrow(measure, "key long, label int, x array<double>")
+    rows = measured.groupBy("key", "label").agg(F.min("x").alias("x")).toPandas()
     rows = rows.sort_values(["key", "label"], kind="stable")
     label = rows["label"].to_numpy()
     if len(set(label.tolist())) < 2:
