@@ -836,6 +836,22 @@ def _(spark, sf):
     return QR.adjacent_duplicates(doubled, ["doc_id"])
 
 
+@check("adjacent_near_duplicates")
+def _(spark, sf):
+    """Every second turn is given the translation of the turn before it less none to four tenths, so ratios lie on both sides of the bound."""
+    from ..sources.tables import read_table
+
+    turns = read_table(spark, sf, "conversations")
+    pair = Window.partitionBy("conv_id", F.floor(F.col("turn") / 2)).orderBy("turn")
+    first = F.coalesce(F.first("text").over(pair), F.lit(""))
+    cut = F.when(F.col("turn") % 2 == 1, F.floor(F.length(first) * (F.col("conv_id") % 5) / 10)).otherwise(0).cast("int")
+    doubled = turns.select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_id"), F.col("text").alias("original"),
+        F.substring(first, cut + 1, F.length(first)).alias("translated"),
+    )
+    return QR.adjacent_duplicates(doubled, ["doc_id"])
+
+
 @check("quality_report")
 def _(spark, sf):
     """Lines of a document against the line before, with the document's own entries."""
