@@ -14,8 +14,9 @@ Rows that repeat a document get the same score. Without labels of both kinds
 every text gets 0.5. Labels that are null or belong to held-out documents are
 never read for the fit; a label given twice counts once, and a document with
 both labels is left out. Of rows that share a sampled id the one with the
-smallest features is learned from. Texts of any length are read whole; equal scores stay equal, and a score on the cut is kept. Columns
-other than those named are not read; an empty table gives an empty result.
+smallest features is learned from. Texts of any length are read whole; equal
+scores stay equal, and a score on the cut is kept. Columns other than those
+named are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
