@@ -32,7 +32,7 @@ from . import textbatch as T
 LENGTHS = np.array([[(c >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_IDS = 1 << 17
-#: Distinct chunks of text whose ids a Python worker remembers before it starts anew.
+#: Distinct chunks of text whose ids a Python worker remembers before it forgets those met once.
 MEMO = 500_000
 
 ALNUM = np.zeros(256, bool)
@@ -43,12 +43,25 @@ PUNCT[[0x27, *range(128, 256)]] = False
 
 
 class Memo:
-    """Ids of chunks that were encoded before, found by hash; sorted arrays take a few bytes for each chunk."""
+    """Ids of chunks that were encoded before, found by hash; sorted arrays take a few bytes for each chunk.
+
+    A full memo keeps the chunks that were met again since it was last full.
+    """
 
     def __init__(self, encode):
         self.encode = encode
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def trim(self) -> None:
+        kept = self.again[self.at]
+        if kept.sum() > MEMO // 2:
+            return self.__init__(self.encode)
+        starts, sizes = self.ends[self.at[kept]], np.diff(self.ends)[self.at[kept]]
+        self.keys, self.at = self.keys[kept], np.arange(len(sizes))
+        self.ids, self.ends = T.gather(self.ids, starts, sizes), np.concatenate([[0], np.cumsum(sizes)])
+        self.again = np.zeros(len(sizes), bool)
 
     def add(self, keys: np.ndarray, chunks: list[str]) -> None:
         parts, sizes = [self.ids], []
@@ -60,16 +73,18 @@ class Memo:
         keys = np.concatenate([self.keys, keys])
         at = np.concatenate([self.at, np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(chunks))])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(sizes, np.int64))])
+        self.again = np.concatenate([self.again, np.zeros(len(chunks), bool)])
         order = np.argsort(keys, kind="stable")
         self.keys, self.at = keys[order], at[order]
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of byte ranges one after another, and how many each has."""
         if len(self.keys) > MEMO:
-            self.__init__(self.encode)
+            self.trim()
         unique, first, back = np.unique(T.hashes(data, starts, ends), return_index=True, return_inverse=True)
         near = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
         new = self.keys[near] != unique if len(self.keys) else np.ones(len(unique), bool)
+        self.again[self.at[near[~new]]] = True
         if new.any():
             self.add(unique[new], T.strings(data, starts[first[new]], ends[first[new]]))
         place = self.at[np.searchsorted(self.keys, unique)][back]

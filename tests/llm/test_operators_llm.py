@@ -607,3 +607,26 @@ def test_zero_beside_private_characters(spark):
     assert [b for i in row for b in model.raw[model.raw_at[i] : model.raw_at[i] + model.raw_size[i]].tolist()] == want
     docs = spark.createDataFrame([(1, text), (2, "\0"), (3, " \0 \0\0")], "doc_id long, text string")
     assert all(r["round_trip"] for r in pieces.round_trips(docs, path).collect())
+
+
+def test_full_memo_keeps_chunks_met_again(monkeypatch):
+    from lexispan.llm import textbatch as T
+    from lexispan.llm import token_files as K
+
+    monkeypatch.setattr(K, "MEMO", 20)
+    asked = []
+
+    def encode(chunks):
+        asked.extend(chunks)
+        return [[len(c), *c.encode()] for c in chunks]
+
+    memo = K.Memo(encode)
+    for turn in range(12):
+        chunks = ["often", "twice", *(f"n{turn}x{i}" for i in range(7)), "often"]
+        ends = np.cumsum([len(c) for c in chunks])
+        data = np.frombuffer("".join(chunks).encode(), np.uint8)
+        ids, sizes = memo.look_up(data, ends - [len(c) for c in chunks], ends)
+        want = [[len(c), *c.encode()] for c in chunks]
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+        assert len(memo.keys) <= 20 + 9 and (np.diff(memo.keys.astype(object)) > 0).all()
+    assert asked.count("often") == 1 and T.hashes(data, ends - 1, ends).size == len(chunks)
