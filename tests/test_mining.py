@@ -111,3 +111,16 @@ def test_no_expand_over_candidates(spark):
     plan = judge_units(units(spark, 3), ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
     assert mining.extract_candidates(units(spark, 3), carry=["unit_id", "element_type", "is_header"]).where(F.col("unit_frequency") < 1).count() == 0
+
+
+def test_statistics_carry_no_long_strings(spark, monkeypatch):
+    """Sections and chunks of any length go through the shuffle as hashes; counts are the exact ones."""
+    rows = [("d", i, "Alpha Beta is here. Alpha-Beta too" if i % 2 else "Alpha Beta again", "c" * 999 + str(i % 3), "s" * 999 + str(i % 2) if i else None, "paragraph", False) for i in range(6)]
+    data = spark.createDataFrame(rows, "doc_id string, unit_id long, text string, chunk_id string, section string, element_type string, is_header boolean")
+    staged, write = [], mining.materialize
+    monkeypatch.setattr(mining, "materialize", lambda df: (staged.append(dict(df.dtypes)), write(df))[1])
+    candidates = mining.extract_candidates(data, carry=["doc_id", "unit_id", "chunk_id", "section", "element_type", "is_header"]).withColumn("has_alias", F.lit(False))
+    found = {r["normalized_source"]: r for r in mining.term_stats(candidates, ["doc_id"], data, ["doc_id", "unit_id"]).collect()}
+    r = found["alpha beta"]
+    assert (r["unit_count"], r["chunk_count"], r["section_count"], r["frequency"]) == (6, 3, 2, 6)
+    assert staged and all(kind != "string" or name in ("doc_id", "normalized_source", "_source") for table in staged for name, kind in table.items())
