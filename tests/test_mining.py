@@ -124,3 +124,13 @@ def test_statistics_carry_no_long_strings(spark, monkeypatch):
     r = found["alpha beta"]
     assert (r["unit_count"], r["chunk_count"], r["section_count"], r["frequency"]) == (6, 3, 2, 6)
     assert staged and all(kind != "string" or name in ("doc_id", "normalized_source", "_source") for table in staged for name, kind in table.items())
+
+
+def test_occurrences_join_texts_last(spark):
+    data = units(spark, 12).withColumns({c: F.lit(None).cast("string") for c in ("context_text", "table_title", "source", "doc_format")})
+    data = data.withColumn("table_index", F.lit(None).cast("int")).withColumn("doc_id", F.lit("d"))
+    every = mining.extract_candidates(data)
+    terms = every.groupBy("doc_id", "normalized_source").agg(F.min("surface").alias("source_term")).where("length(normalized_source) % 2 = 0")
+    whole = mining.term_occurrences(every, terms, ["doc_id"])
+    found = mining.occurrences_in(data, terms, ["doc_id"])
+    assert found.columns == whole.columns and found.count() == whole.count() > 0 and found.exceptAll(whole).count() == 0
