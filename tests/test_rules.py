@@ -182,3 +182,30 @@ def test_workers_import_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "GOT [de] a" in got.stdout, got.stderr[-2000:]
+
+
+def test_language_is_told_without_counting_letters(spark):
+    """The same answers as by counts, and no string is made of every letter."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from lexispan.functions import quality as Q
+
+    rng = random.Random(5)
+    parts = ["word", "a-b-c", "it's", "x", "-", "12", "한국", "ㄱ", "漢", "漢字", "かな", "カ", "Ж", "é", "\n", ", "]
+    texts = ["", None, *("".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(16))) for _ in range(400))]
+    data = spark.createDataFrame([(i, t, c) for i, t in enumerate(texts) for c in ("ko", "en", "ja", "zh", "fr")], "i int, t string, c string")
+    test = Q.needs_translation("t", F.col("c"))
+    assert ", [A-Za-z], 0)" not in data.select(test)._jdf.queryExecution().optimizedPlan().toString()
+    for t, c, got in data.select("t", "c", test).collect():
+        t = t or ""
+        n = {k: len(re.findall(p, t)) for k, p in (("ko", Q.HANGUL_LETTER), ("la", Q.LATIN), ("ka", Q.KANA), ("ha", Q.HAN))}
+        runs = re.findall(r"""[A-Za-z][A-Za-z0-9\s,.;:!?()'"$%&/\-–—]{24,}""", t)
+        sentence = any(len(re.findall(r"[A-Za-z]+(?:['-][A-Za-z]+)?", r)) >= 4 for r in runs)
+        want = {
+            "ko": n["ka"] > 0 or n["ha"] >= 2 or sentence, "en": n["ko"] + n["ka"] + n["ha"] > 0,
+            "ja": n["ko"] > 0 or sentence or (n["ha"] > 0 and n["ka"] == 0), "zh": n["ko"] > 0 or n["ka"] > 0 or sentence, "fr": True,
+        }[c]
+        assert got == (want if sum(n.values()) else False), (t, c)
