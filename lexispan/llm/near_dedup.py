@@ -212,16 +212,41 @@ def alike(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "brief_a", "brief_b").mapInArrow(compare, "a long, b long")
 
 
-def star_pairs(large: DataFrame) -> DataFrame:
-    """Every member with one member, drawn by hash, of each of its ``STARS`` largest nodes.
+def centres(members: DataFrame, brief: DataFrame) -> DataFrame:
+    """(node, centre): of ``SMALL`` members of a node drawn by hash, the one most like the others.
 
-    This only saves work: whom it leaves unlinked goes on to the exact step.
+    What stands in the middle of a group is linked with more of it than a member
+    drawn blindly. This only saves work: whom it leaves unlinked goes on.
     """
-    middle = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id")).alias("m")).select("node", F.col("m.id").alias("centre"))
+    order = Window.partitionBy("node").orderBy(F.xxhash64("node", "id"), "id")
+    drawn = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SMALL).select("node", "id")
+    nodes = drawn.join(brief, "id").groupBy("node").agg(F.collect_list(F.struct("id", "brief")).alias("members"))
+
+    def middle(found):
+        for batch in found:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            ids, tokens = np.asarray(flat.field(0)), token_matrix(flat.field(1), np.uint8)
+            at = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+            likeness = np.zeros(len(ids), np.int64)
+            for step in range(1, min(SMALL, len(ids))):
+                a = np.flatnonzero(at[:-step] == at[step:])
+                same = (tokens[a] == tokens[a + step]).sum(axis=1)
+                likeness[a] += same
+                likeness[a + step] += same
+            best = np.lexsort((ids, -likeness, at))
+            best = best[np.unique(at[best], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[best])), pa.array(ids[best])], ["node", "centre"])
+
+    return nodes.select("node", "members").mapInArrow(middle, "node long, centre long")
+
+
+def star_pairs(large: DataFrame, brief: DataFrame) -> DataFrame:
+    """Every member with the centre of each of its ``STARS`` largest nodes."""
     order = Window.partitionBy("id").orderBy(F.desc("size"), "node")
     largest = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= STARS)
     return (
-        largest.join(middle, "node").where("id <> centre")
+        largest.join(centres(large.select("node", "id"), brief), "node").where("id <> centre")
         .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     )
 
@@ -234,11 +259,10 @@ def by_component(large: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(most.select("node", F.col("m.label").alias("main")), "node")
 
 
-def main_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members outside the commonest component, hardly compared elsewhere, with one member of it in each of their nodes."""
+def main_pairs(large: DataFrame, labels: DataFrame, brief: DataFrame) -> DataFrame:
+    """Members outside the commonest component, hardly compared elsewhere, with the centre of it in each of their nodes."""
     mixed = materialize(by_component(large, labels), tidy=True)
-    order = F.xxhash64(F.lit("main"), F.col("node"), F.col("id"))
-    middle = mixed.where("label = main").groupBy("node").agg(F.min(F.struct(order.alias("h"), "id")).alias("m")).select("node", F.col("m.id").alias("centre"))
+    middle = centres(mixed.where("label = main").select("node", "id"), brief)
     rest = mixed.where("label <> main").join(hardly_compared(large), "id", "left_semi").select("node", "id")
     return rest.join(middle, "node").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
@@ -341,7 +365,7 @@ def labelled(documents: DataFrame, k: int, percent: int, id_column="doc_id", tex
     classes = materialize(classes.select(*key, "id", "rep.doc_id", "rep.body_hash", "tokens"))
     brief = materialize(classes.select("id", F.col("n_shingles").alias("n"), low_bytes(F.col("tokens")).alias("brief")))
     small, large = leaves(classes.select("id", "tokens"), percent / 100)
-    first = materialize(pairs_of_small(small, brief, percent).unionByName(alike(star_pairs(large), brief, percent)).distinct(), tidy=True)
+    first = materialize(pairs_of_small(small, brief, percent).unionByName(alike(star_pairs(large, brief), brief, percent)).distinct(), tidy=True)
     asked = first.select(F.col("a").alias("id")).union(first.select("b")).union(large.select("id")).distinct()
     wanted = classes.select("id", "doc_id", "body_hash").join(asked, "id").hint("merge")
     bodies = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("body"), F.xxhash64(text_column).alias("body_hash"))
@@ -351,7 +375,7 @@ def labelled(documents: DataFrame, k: int, percent: int, id_column="doc_id", tex
     links = materialize(confirmed(first, texts, k, percent), tidy=True)
     labels = components(links)
     tested = first
-    again = alike(main_pairs(large, labels).join(tested, ["a", "b"], "left_anti"), brief, percent)
+    again = alike(main_pairs(large, labels, brief).join(tested, ["a", "b"], "left_anti"), brief, percent)
     again = materialize(again, tidy=True)
     if not again.isEmpty():
         tested = tested.unionByName(again)
@@ -359,8 +383,9 @@ def labelled(documents: DataFrame, k: int, percent: int, id_column="doc_id", tex
         labels = components(links)
     rest, beside = outside_main(large, labels)
     if not rest.isEmpty():
+        # Members of one prefix already look alike, so these go to the full sets at once.
         more = pairs_of_rest(beside, rest, labels, texts, k, percent).join(tested, ["a", "b"], "left_anti")
-        more = materialize(alike(more, brief, percent), tidy=True)
+        more = materialize(more, tidy=True)
         if not more.isEmpty():
             links = materialize(links.unionByName(confirmed(more, texts, k, percent)), tidy=True)
             labels = components(links)

@@ -630,3 +630,17 @@ def test_full_memo_keeps_chunks_met_again(monkeypatch):
         assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
         assert len(memo.keys) <= 20 + 9 and (np.diff(memo.keys.astype(object)) > 0).all()
     assert asked.count("often") == 1 and T.hashes(data, ends - 1, ends).size == len(chunks)
+
+
+def test_the_centre_of_a_node_is_the_member_most_like_the_others(spark):
+    rows = []
+    for i in range(12):
+        tokens = bytearray(near_dedup.TOKENS)
+        if i != 5:
+            # Each differs from member 5 in bytes of its own, so two of them are less alike than either and 5.
+            tokens[5 * i % 60 : 5 * i % 60 + 4] = bytes([i + 1] * 4)
+        rows.append((i, 100, bytes(tokens)))
+    brief = spark.createDataFrame(rows, "id long, n long, brief binary")
+    nodes = spark.createDataFrame([(node, i) for node in (1, 2) for i in range(12)] + [(3, 4)], "node long, id long")
+    got = {r.node: r.centre for r in near_dedup.centres(nodes, brief).collect()}
+    assert got == {1: 5, 2: 5, 3: 4}
