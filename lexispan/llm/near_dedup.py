@@ -10,10 +10,10 @@ and the trees bring two classes at the threshold together with a chance of over
 0.999999.
 
 A node of at most ``SMALL`` members is compared exhaustively. A larger one holds
-copies of one text, or texts with one common phrase. Members are linked to one
-member, drawn by hash, of their ``STARS`` largest nodes, and components are made.
-Members outside the commonest component of a node are compared with one member
-of it, drawn by hash, in each of their nodes. Members in that component need no
+copies of one text, or texts with one common phrase. Members are compared with the
+centre of their ``STARS`` largest nodes, and components are made. Members outside
+the commonest component of a node are compared with the centre of that component,
+in each of their nodes (see ``centres``). Members in that component need no
 further link there, and members with ``ENOUGH`` nodes that are not large have met their partners in
 these. Every other member meets all members of its nodes exactly, on rare
 shingles (see ``pairs_of_rest``). There the recursion ends: copies are never
