@@ -134,3 +134,48 @@ def test_occurrences_join_texts_last(spark):
     whole = mining.term_occurrences(every, terms, ["doc_id"])
     found = mining.occurrences_in(data, terms, ["doc_id"])
     assert found.columns == whole.columns and found.count() == whole.count() > 0 and found.exceptAll(whole).count() == 0
+
+
+def test_shape_reasons_agree_with_columns(spark):
+    """What the kernel says of a term is what the rules say as columns, in their order."""
+    from lexispan.functions import terms as T
+    from lexispan.functions import text as X
+    from lexispan.operators.term_shape_kernel import shape_reasons
+
+    rng = random.Random(8)
+    parts = ["The", "the", "of", "Of", "and", "is", "would", "IX", "ii", "NATO", "A/B", "AB/CD", "iPhone", "McDonald", "N/A", "blank", "Data", "(Data)", "Foo-", "x", "서버", "서버가", "9", "Model7", "é", "École", "ÉTÉ", "a", "[Data]", "data", "Table", "–", ".", "Table 4.", "\x1c", "ǅ", "ⅷ", "İs"]
+    terms = ["", " ", "IX", "N/A", "Blank ", "AB\x1c", "A B C D E F G H", "Foo  Bar", " Foo Bar", "Foo Bar AB", "Data 9", "Foo　Bar", "x9"]
+    terms += [rng.choice([" ", " ", " ", "  ", "\t"]).join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t, rng.random() < 0.3, rng.random() < 0.5) for t in terms], "term string, name boolean, ngram boolean")
+    rows = rows.withColumn("n", X.token_count("term"))
+    n, several = F.col("n"), F.col("n") > 1
+    rules = F.coalesce(
+        F.nullif(T.invalid_reason("term"), F.lit("")),
+        F.when(T.repeated_key_token("term"), "cross_boundary_repeated_token").when((F.col("term") == "") | (n == 0), "empty_or_non_word")
+        .when(F.length("term") < 2, "too_short").when((n == 1) & ~X.single_word_term("term") & ~F.col("name"), "generic_single_word")
+        .when(several & ~T.independent_shape("term"), "not_independent_term_shape").when(F.col("ngram") & T.bad_body_ngram("term"), "bad_body_ngram_shape")
+        .when(several & X.is_acronym(F.element_at(F.split("term", " "), -1)), "alias_joined_ngram").otherwise(""),
+    )
+    found = rows.withColumn("kernel", shape_reasons("term", "n", "name", "ngram")).withColumn("columns", rules)
+    assert found.where("kernel <> columns").select("term", "name", "ngram", "kernel", "columns").collect() == []
+    assert found.select("kernel").distinct().count() > 10
+
+
+def test_judging_cuts_no_term_into_words_in_columns(spark):
+    """Words of a term are looked at once, in a batch; sections are hashed a unit, not a candidate."""
+    stats = spark.createDataFrame([("d", "Data Base", 2, 2, 8, 0, 0, 0, False)], "doc_id string, source_term string, token_count int, frequency long, type_bits int, heading_count long, table_header_count long, standalone_occurrence_count long, has_alias boolean")
+    judged = mining.judge_candidates(stats)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan and judged.first()["filter_reason"] == ""
+    data = units(spark, 9)
+    once = mining.hashed_places(data)
+    assert {"_chunk", "_section"} <= set(once.columns) and not {"chunk_id", "section"} & set(once.columns) and mining.hashed_places(once) is once
+
+
+def test_candidate_keys_are_those_of_candidates(spark):
+    for korean in (False, True):
+        data = units(spark, 10, korean)
+        carry = ["doc_id", "unit_id", "element_type", "is_header"]
+        want = mining.extract_candidates(data, korean, carry).select("doc_id", "unit_id", "normalized_source")
+        got = mining.candidate_keys(data, ["doc_id", "unit_id"], korean)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
